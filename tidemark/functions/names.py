@@ -17,6 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.fixed_values import UNDECOMPOSED_LETTERS
 
@@ -53,7 +54,7 @@ def _latin_tables() -> tuple[str, str, str]:
     return source, target, f"[^{covered}]|[{awkward}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_marks_batch(names: pd.Series) -> pd.Series:
     return names.map(strip_marks, na_action="ignore")
 

@@ -15,14 +15,13 @@ from datetime import UTC, datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark import fixed_values
 from tidemark.operators import ranks
 
 SCHEMA_VERSION = 1
 
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "schema_version int, deadline timestamp, capture string, code_version string, "
     "context string, rows bigint, digest string, made_at timestamp, "
     "season string, gameweek string, model string"

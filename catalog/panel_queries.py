@@ -11,6 +11,7 @@ from catalog.tables import (
     MONTHS,
     PANEL_SQL,
     feature_frame,
+    feature_table,
     panel,
     supplier_bound,
 )
@@ -283,7 +284,7 @@ def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.baseline_results(
-        feature_frame(spark, sf_dir), group_rows=supplier_bound(spark, sf_dir)
+        feature_frame(spark, sf_dir), group_rows=supplier_bound(spark, sf_dir), keep=True
     )
 
 
@@ -425,7 +426,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SCORES + " WHERE errors.baseline = 'rolling_mean5'")
 def score_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = backtest.walk_forward(feature_frame(spark, sf_dir), "rolling_mean5", check=False)
+    results = backtest.walk_forward(feature_table(spark, sf_dir), "rolling_mean5", check=False)
     card = metrics.score(results, SPEC, group_rows=supplier_bound(spark, sf_dir))
     return rounded(card.withColumn("baseline", F.lit("rolling_mean5")))
 
@@ -503,7 +504,7 @@ _FIXED_FROM = 1998
 )
 def shrunk_fixed_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later seasons predicted from a prior fitted once on the earlier ones."""
-    frame = feature_frame(spark, sf_dir)
+    frame = feature_table(spark, sf_dir)
     results = backtest.walk_forward_shrinkage(
         frame.where(F.col("season") >= _FIXED_FROM),
         past_seasons=frame.where(F.col("season") < _FIXED_FROM),
@@ -560,7 +561,7 @@ def shrunk_fixed_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_forward_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prior refitted before every period, for all periods in one job."""
     results = backtest.walk_forward_shrinkage(
-        feature_frame(spark, sf_dir), group_rows=supplier_bound(spark, sf_dir)
+        feature_table(spark, sf_dir), group_rows=supplier_bound(spark, sf_dir)
     )
     return rounded(results)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import features
-from tidemark.session import tune
+from tidemark.session import tune, written
 
 MONTHS = 12
 
@@ -83,6 +83,11 @@ def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.build(panel(spark, sf_dir), group_rows=MONTHS)
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features as a written table, for queries that read them several times."""
+    return written(feature_frame(spark, sf_dir), "features")
+
+
 # The same panel and features in SQL, as common table expressions.
 PANEL_SQL = """
 cells AS (

@@ -4,9 +4,9 @@ Underscores become spaces, a trailing number goes, accents go (compatibility
 decomposition without combining marks), letters turn lower case, letters that do
 not decompose are spelled out, and runs of white space become one space.
 
-Text in the Latin blocks, nearly all of it, is folded by built-in functions. The
-rest (Greek, Cyrillic, Hangul, ligatures and so on) goes through an Arrow batch
-function, so that every text gets the exact decomposition.
+Text up to U+017F (Western and Central European letters) is folded by built-in
+functions. Text with anything beyond goes through an Arrow batch function, so that
+every text gets the exact decomposition.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from pyspark.sql import types as T
 
 from tidemark.fixed_values import UNDECOMPOSED_LETTERS
 
-# Blocks the built-in path covers: Basic Latin to Latin Extended-B, combining
-# marks, Latin Extended Additional.
-_LATIN = [(0x0000, 0x024F), (0x0300, 0x036F), (0x1E00, 0x1EFF)]
+# The last letter of Latin Extended-A; one range keeps the test for others cheap.
+_LAST = 0x017F
 _SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -33,25 +32,12 @@ def strip_marks(text: str) -> str:
 
 
 @functools.cache
-def _latin_tables() -> tuple[str, str, str]:
-    """(letters, what each becomes, pattern for text the built-ins cannot fold)."""
-    single, marks, several = {}, [], []
-    for low, high in _LATIN:
-        for c in map(chr, range(low, high + 1)):
-            folded = strip_marks(c)
-            if folded == c:
-                continue
-            if len(folded) == 1:
-                single[c] = folded
-            elif folded:
-                several.append(c)
-            else:
-                marks.append(c)
-    # translate() deletes the letters that have no counterpart, here the marks.
-    source, target = "".join(single) + "".join(marks), "".join(single.values())
-    covered = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in _LATIN)
-    awkward = "".join(f"\\x{{{ord(c):X}}}" for c in several)
-    return source, target, f"[^{covered}]|[{awkward}]"
+def _latin_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What letters up to ``_LAST`` fold to: one character each, and several."""
+    folds = {c: strip_marks(c) for c in map(chr, range(_LAST + 1))}
+    changed = {c: to for c, to in folds.items() if to != c}
+    single = {c: to for c, to in changed.items() if len(to) == 1}
+    return single, {c: to for c, to in changed.items() if c not in single}
 
 
 @F.pandas_udf(T.StringType())
@@ -60,13 +46,16 @@ def _strip_marks_batch(names: pd.Series) -> pd.Series:
 
 
 def fold_name(name: Column) -> Column:
-    source, target, awkward = _latin_tables()
-    bare = F.regexp_replace(F.translate(name, "_", " "), rf"(?U){_SPACE}+\d+(?=\n?\z)", "")
-    foreign = bare.rlike(awkward)
-    plain = F.when(
-        foreign, _strip_marks_batch(F.when(foreign, bare))
-    ).otherwise(F.translate(bare, source, target))
-    spelled = F.lower(plain)
+    single, several = _latin_folds()
+    spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    bare = F.regexp_replace(spaced, rf"(?U){_SPACE}+\d+(?=\n?\z)", "")
+    foreign = bare.rlike(rf"[^\x00-\x{{{_LAST:X}}}]")
+    latin = F.translate(bare, "".join(single), "".join(single.values()))
+    for letter, spelling in several.items():
+        latin = F.replace(latin, F.lit(letter), F.lit(spelling))
+    # Rows the built-ins can fold cross to Python as nulls.
+    exact = _strip_marks_batch(F.when(foreign, bare))
+    spelled = F.lower(F.when(foreign, exact).otherwise(latin))
     for letter, spelling in UNDECOMPOSED_LETTERS.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(spelling))
     return F.trim(F.regexp_replace(spelled, rf"(?U){_SPACE}+", " "))

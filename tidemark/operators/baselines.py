@@ -111,34 +111,51 @@ def predict(
     return RULES[name].attach(df, spec or PanelSpec(), out)
 
 
-def predict_all(
+def attach_all(
     df: DataFrame,
     spec: PanelSpec | None = None,
     rules: list[str] | None = None,
     *,
     group_rows: int | None = None,
 ) -> DataFrame:
-    """One row per input row and rule: ``baseline``, ``prediction``, ``on_scale``.
-
-    The rules are attached side by side, then turned into rows by an explode,
-    which needs no shuffle and reads the frame once.
-    """
+    """One column per rule, named ``_by_<rule>``, beside the input's columns."""
     spec = spec or PanelSpec()
-    chosen = [RULES[name] for name in (rules or RULES)]
     wide = df
-    for rule in chosen:
-        if rule.attach is attach_crowd:
-            wide = attach_crowd(wide, spec, f"_by_{rule.name}", group_rows=group_rows)
+    for name in rules or RULES:
+        attach, out = RULES[name].attach, f"_by_{name}"
+        if attach is attach_crowd:
+            wide = attach_crowd(wide, spec, out, group_rows=group_rows)
         else:
-            wide = rule.attach(wide, spec, f"_by_{rule.name}")
+            wide = attach(wide, spec, out)
+    return wide
+
+
+def in_rows(wide: DataFrame) -> DataFrame:
+    """The rules' columns as rows: ``baseline``, ``prediction``, ``on_scale``.
+
+    An explode needs no shuffle and reads the wide table once.
+    """
+    names = [c.removeprefix("_by_") for c in wide.columns if c.startswith("_by_")]
     scored = F.array(
         *[
             F.struct(
-                F.lit(rule.name).alias("baseline"),
-                F.col(f"_by_{rule.name}").cast("double").alias("prediction"),
-                F.lit(rule.on_scale).alias("on_scale"),
+                F.lit(name).alias("baseline"),
+                F.col(f"_by_{name}").cast("double").alias("prediction"),
+                F.lit(RULES[name].on_scale).alias("on_scale"),
             )
-            for rule in chosen
+            for name in names
         ]
     )
-    return wide.select(*df.columns, F.inline(scored))
+    kept = [c for c in wide.columns if not c.startswith("_by_")]
+    return wide.select(*kept, F.inline(scored))
+
+
+def predict_all(
+    df: DataFrame,
+    spec: PanelSpec | None = None,
+    rules: list[str] | None = None,
+    *,
+    group_rows: int | None = None,
+) -> DataFrame:
+    """One row per input row and rule."""
+    return in_rows(attach_all(df, spec, rules, group_rows=group_rows))

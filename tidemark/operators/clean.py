@@ -13,10 +13,12 @@ def tolerant_double(name: str) -> Column:
     """A double, or null where the text is not a number.
 
     Java also reads a trailing d or f as part of a number; here such text is not
-    a number.
+    a number. Only text that holds one of these letters is matched for that.
     """
     text = F.col(name).cast("string")
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
+    number = text.try_cast("double")
+    lettered = F.translate(text, "dDfF", "") != text
+    return F.when(lettered & text.rlike(r"[0-9.][dDfF]\s*$"), None).otherwise(number)
 
 
 def tolerant_long(name: str) -> Column:

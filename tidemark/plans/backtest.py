@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import baselines, metrics, shrinkage
+from tidemark.session import written
 from tidemark.spec import PanelSpec
 
 # (history with cutoff, target with cutoff) -> target rows with ``prediction``.
@@ -108,6 +109,11 @@ def walk_forward_shrinkage(
     return as_results(predicted, spec)
 
 
+def _result_columns(df: DataFrame, spec: PanelSpec) -> list[str]:
+    roles = [*spec.period_keys, spec.entity, spec.name, spec.group, spec.outcome, spec.exposure]
+    return [c for c in df.columns if c in roles or c.startswith("_by_")]
+
+
 def baseline_results(
     frame: DataFrame,
     spec: PanelSpec | None = None,
@@ -115,11 +121,18 @@ def baseline_results(
     rules: list[str] | None = None,
     first_period: int = FIRST,
     group_rows: int | None = None,
+    keep: bool = False,
 ) -> DataFrame:
-    """Results of all rules in long form, keyed by ``baseline``."""
+    """Results of all rules in long form, keyed by ``baseline``.
+
+    ``keep`` writes the predictions, one column per rule, to the shared folder
+    first: worth it whenever more than one metric reads them.
+    """
     spec = spec or PanelSpec()
     target = frame.where(F.col(spec.period) >= first_period)
-    scored = baselines.predict_all(target, spec, rules, group_rows=group_rows)
+    wide = baselines.attach_all(target, spec, rules, group_rows=group_rows)
+    wide = wide.select(*_result_columns(wide, spec))
+    scored = baselines.in_rows(written(wide, "predictions") if keep else wide)
     return as_results(scored, spec, "baseline", "on_scale")
 
 
@@ -131,15 +144,12 @@ def compare_baselines(
     first_period: int = FIRST,
     k: int = fixed_values.TOP_K,
     group_rows: int | None = None,
+    keep: bool = True,
 ) -> DataFrame:
-    """Leaderboard, best rank agreement first, unscored rules last.
-
-    ``frame`` is read by several branches, so hand in a written or persisted
-    feature table.
-    """
+    """Leaderboard, best rank agreement first, unscored rules last."""
     spec = spec or PanelSpec()
     results = baseline_results(
-        frame, spec, rules=rules, first_period=first_period, group_rows=group_rows
+        frame, spec, rules=rules, first_period=first_period, group_rows=group_rows, keep=keep
     )
     scores = metrics.score(
         results,
@@ -149,4 +159,7 @@ def compare_baselines(
         on_scale=F.col("on_scale"),
         group_rows=group_rows,
     )
-    return scores.drop("on_scale").orderBy(F.col("rank_corr").desc_nulls_last(), "baseline")
+    # One row per rule: a limit at that number drops nothing and lets Spark order
+    # the rows without sampling them for a range partitioning first.
+    best_first = scores.drop("on_scale").orderBy(F.col("rank_corr").desc_nulls_last(), "baseline")
+    return best_first.limit(len(rules or baselines.RULES))

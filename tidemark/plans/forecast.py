@@ -16,6 +16,13 @@ from tidemark.spec import PanelSpec
 RUN_SPEC = PanelSpec(season="run_season")
 
 
+def largest_run(bootstrap: DataFrame, summaries: DataFrame) -> int:
+    """Most rows any run has, counted from array lengths; no run's season of one
+    entity, and no period, can have more."""
+    total = F.col("completed_rows") + F.col("upcoming_rows")
+    return int(live.context(bootstrap, summaries).agg(F.max(total)).first()[0] or 0)
+
+
 def next_period_predictions(
     bootstrap: DataFrame, summaries: DataFrame, *, group_rows: int | None = None
 ) -> DataFrame:
@@ -24,6 +31,8 @@ def next_period_predictions(
     Completed rows and stubs share one feature pass, so the stub's lagged columns
     end at the deadline with no special case.
     """
+    if group_rows is None:
+        group_rows = largest_run(bootstrap, summaries)
     rows = live.build(bootstrap, summaries).withColumn(
         "run_season", F.concat_ws("|", "run", "season")
     )
@@ -59,6 +68,8 @@ def forecast(
     if about["next_gameweek"] is None:
         raise ValueError(f"run {capture} has no period still to come")
     prediction_log.guard_deadline(about["deadline"], now)
+    if group_rows is None:
+        group_rows = about["completed_rows"] + about["upcoming_rows"]
 
     predicted = next_period_predictions(bootstrap, summaries, group_rows=group_rows).persist()
     try:

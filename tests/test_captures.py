@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 from datetime import UTC, datetime
 
@@ -95,6 +96,16 @@ def test_manifest_functions(spark, archive):
     assert [e.url for e in document.entries] == sorted(e.url for e in document.entries)
 
 
+def test_payload_digests_are_of_the_bytes_as_received(spark, archive, tmp_path):
+    body = b'{"a" : [ 1,2 ],\n  "b":"S\\u00e1",\r\n "c": "\xc3\xa9" }\n'
+    put(tmp_path / "raw", FULL, "odd.json", body)
+    rows = captures.payload_digests(spark, archive).where(F.col("run") == FULL).collect()
+    got = {r.path: (r.bytes, r.sha256) for r in rows}
+    assert got["odd.json.gz"] == (len(body), hashlib.sha256(body).hexdigest())
+    assert set(got) == {"odd.json.gz", "bootstrap-static.json.gz",
+                        "element-summary/1.json.gz", "element-summary/2.json.gz"}
+
+
 def test_documents_of_all_runs(spark, archive):
     boot = captures.read_bootstrap(spark, archive)
     context = {r.run: r for r in captures.period_context(boot).collect()}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import ordered, ranks
+from tidemark.session import counted, written
 from tidemark.spec import PanelSpec
 
 
@@ -70,6 +71,7 @@ def _by_window(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def _ranked_pairs(pairs: DataFrame, group: list[str], group_rows: int) -> DataFrame:
     """Rank both sides of counted (prediction, actual) pairs, then correlate."""
+    pairs = written(pairs, "pairs")
     out = pairs
     for side in ("prediction", "actual"):
         shape = pairs.groupBy(*group, side).agg(F.sum("_n").alias("_m"))
@@ -81,7 +83,7 @@ def _ranked_pairs(pairs: DataFrame, group: list[str], group_rows: int) -> DataFr
         out = out.join(placed.select(*group, side, rank), [*group, side])
     sizes = pairs.groupBy(*group).agg(F.sum("_n").alias("_size"))
     return (
-        out.join(sizes, group)
+        out.join(counted(sizes, "group-sizes"), group)
         .groupBy(*group)
         .agg(
             _spearman(

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import counted, written
+
 # Above this many rows per group the split path is taken.
 WINDOW_GROUP_ROWS = 4_000_000
 
@@ -67,6 +69,7 @@ def with_bucket(df: DataFrame, keys: list[str], order: list[Column], step: int)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("_at")).alias("_marks"))
     )
+    marks = counted(marks, "split-points", F.size("_marks"))
     joined = placed.join(marks, keys, "left")
     return joined.withColumn("_bucket", _bucket_of(F.col("_marks"), F.col("_at"))).drop("_marks")
 
@@ -81,9 +84,10 @@ def with_totals_before(
     """Add, per name in ``totals``, the sum over the group's earlier rows.
 
     ``order`` must be unique inside a group. A sum over no rows is null, as in a
-    window that ends one row before the current one.
+    window that ends one row before the current one. The input is written once,
+    since the sample, the buckets and their totals all read it.
     """
-    split = with_bucket(df, keys, order, sample_step(group_rows))
+    split = with_bucket(written(df, "ordered"), keys, order, sample_step(group_rows))
     slot = [*keys, "_bucket"]
     inside = Window.partitionBy(*slot).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     local = split.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import ordered
+from tidemark.session import counted
 from tidemark.spec import PanelSpec
 
 
@@ -51,6 +52,7 @@ def average_rank(
 ) -> DataFrame:
     """Average rank of ``value`` inside each group, ties sharing their middle.
 
+    The histogram plan reads ``df`` twice, so hand in a written table at scale.
     ``group_rows`` is a proven bound on the rows of a group; left out, it is
     measured with one aggregation.
     """
@@ -65,7 +67,8 @@ def group_length(
 ) -> DataFrame:
     """Rows in the group, nulls included, on every row."""
     if ordered.needs_split(df, keys, group_rows):
-        return df.join(df.groupBy(*keys).agg(F.count("*").alias(out)), keys, "left")
+        sizes = df.groupBy(*keys).agg(F.count("*").alias(out))
+        return df.join(counted(sizes, "group-sizes"), keys, "left")
     return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 

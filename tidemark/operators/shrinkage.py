@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import ranks
+from tidemark.session import counted, written
 from tidemark.spec import PanelSpec
 
 
@@ -97,9 +98,10 @@ def fit(
     *,
     group_rows: int | None = None,
 ) -> Prior:
-    """One prior from all of ``history``. Stays in Spark until it is used."""
+    """One prior from all of ``history``, fitted now and kept as two small tables."""
     spec, limits = spec or PanelSpec(), limits or FitLimits()
-    usable = usable_rows(history, spec, limits, group_rows)
+    lean = usable_rows(history, spec, limits, group_rows)
+    usable = written(lean.select(*spec.entity_keys, spec.group, "price_bucket", "_y"), "usable")
     overall = usable.agg(F.avg("_y").alias("mean"), F.count("*").alias("n"))
     moments = entity_moments(usable, spec, limits).agg(
         F.avg("entity_var").alias("within"),
@@ -115,7 +117,8 @@ def fit(
         F.when(F.col("n") < limits.min_rows, F.lit(limits.fallback)).otherwise(k).alias("k"),
         F.coalesce(F.col("mean"), F.lit(0.0)).alias("grand_mean"),
     )
-    return Prior(prior_table(usable, spec, limits), scalars, limits)
+    table = counted(prior_table(usable, spec, limits), "prior")
+    return Prior(table, written(scalars, "prior-scalars"), limits)
 
 
 def shrunk(spec: PanelSpec, prior_mean: Column, k: Column) -> Column:
@@ -175,7 +178,7 @@ def _strength_each_cutoff(
     Values are centred on their season's mean, which keeps the running sum of
     squares well conditioned.
     """
-    centre = usable.groupBy(spec.season).agg(F.avg("_y").alias("_centre"))
+    centre = counted(usable.groupBy(spec.season).agg(F.avg("_y").alias("_centre")), "centres")
     # Sums per entity and period first: an entity with very many rows in one
     # season arrives at the window as one row per period.
     per_period = (
@@ -227,11 +230,18 @@ def fit_each_cutoff(
     first_period: int = fixed_values.FIRST_SCORED_PERIOD,
     group_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(prior table, scalars), both keyed by season and the period predicted."""
+    """(prior table, scalars), both keyed by season and the period predicted.
+
+    The usable rows are written once for the three levels that sum them; the two
+    results are small tables, written as well.
+    """
     spec, limits = spec or PanelSpec(), limits or FitLimits()
-    usable = usable_rows(frame, spec, limits, group_rows)
-    periods = numbered_periods(frame, spec)
     season, period = spec.season, spec.period
+    lean = usable_rows(frame, spec, limits, group_rows)
+    usable = written(
+        lean.select(season, period, spec.entity, spec.group, "price_bucket", "_y"), "usable"
+    )
+    periods = counted(numbered_periods(frame, spec), "periods")
 
     cells = usable.groupBy(season, period, spec.group, "price_bucket").agg(
         F.sum("_y").alias("_sum"), F.count("*").cast("double").alias("_n")
@@ -268,7 +278,7 @@ def fit_each_cutoff(
             F.coalesce(F.try_divide("_sum", "_n"), F.lit(0.0)).alias("grand_mean"),
         )
     )
-    return table, scalars
+    return counted(table, "priors"), counted(scalars, "prior-scalars")
 
 
 def predict_walking(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import baselines, metrics, shrinkage
-from tidemark.session import written
+from tidemark.session import counted, written
 from tidemark.spec import PanelSpec
 
 # (history with cutoff, target with cutoff) -> target rows with ``prediction``.
@@ -61,6 +61,7 @@ def history_by_cutoff(frame: DataFrame, spec: PanelSpec, first_period: int = FIR
         .agg(F.collect_set(spec.period).alias("_cutoffs"))
     )
     later = F.filter("_cutoffs", lambda c: c > F.col(spec.period))
+    cutoffs = counted(cutoffs, "cutoffs", F.size("_cutoffs"))
     return frame.join(cutoffs, spec.season).withColumn("cutoff", F.explode(later)).drop("_cutoffs")
 
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A dimension of at most this many rows is sent to every executor; its rows hold a
+# handful of narrow columns, so that is some tens of megabytes.
+BROADCAST_ROWS = 200_000
 
 # Set on a session only where the caller (or the cluster) has not chosen.
 SETTINGS = {
@@ -50,3 +55,20 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, purpose: str, weight: Column | None = None) -> DataFrame:
+    """A small derived table, written and then counted before it is broadcast.
+
+    It comes back marked for broadcast if it proved small, and plain otherwise, in
+    which case joins with it shuffle and adaptive execution splits hot keys. Keys
+    such as the period have a few dozen values, so a shuffle on them is worth
+    avoiding whenever it can be. Rows that hold an array count by ``weight``, its
+    length; plain rows are counted from the file footers.
+    """
+    table = written(df, purpose)
+    if weight is None:
+        size = table.count()
+    else:
+        size = table.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table

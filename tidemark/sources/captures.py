@@ -7,6 +7,8 @@ work the same on documents that were compacted to Parquet.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,25 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, path, MANIFEST, r"([^/]+)/[^/]+$")
 
 
+def payload_digests(spark: SparkSession, root: str) -> DataFrame:
+    """run, path, bytes, sha256 of every stored payload, as it was before gzip.
+
+    Whole files are read as text because that reader unpacks by extension and
+    keeps the bytes as they are; a payload is one small document.
+    """
+    whole = spark.read.text(
+        [f"{root.rstrip('/')}/*/*.gz", f"{root.rstrip('/')}/*/*/*.gz"], wholetext=True
+    )
+    base = re.escape(root.rstrip("/").split(":")[-1])
+    place = F.regexp_extract(F.col("_metadata.file_path"), rf"{base}/(.*)$", 1)
+    return whole.select(
+        F.substring_index(place, "/", 1).alias("run"),
+        F.regexp_replace(place, "^[^/]+/", "").alias("path"),
+        F.octet_length("value").cast("bigint").alias("bytes"),
+        scalars.sha256_hex(F.col("value").cast("binary")).alias("sha256"),
+    )
+
+
 def unreadable(documents: DataFrame) -> DataFrame:
     """Damaged documents per run."""
     return documents.groupBy("run").agg(F.count("_corrupt_record").alias("unreadable"))
@@ -84,7 +105,7 @@ def in_run_order(runs: DataFrame) -> DataFrame:
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """run, files, bytes for every run folder, oldest first."""
-    base = root.rstrip("/").split(":")[-1]
+    base = re.escape(root.rstrip("/").split(":")[-1])
     run = F.regexp_extract("path", rf"{base}/([^/]+)/", 1)
     return in_run_order(
         listing(spark, root)

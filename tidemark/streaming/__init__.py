@@ -1,0 +1,5 @@
+"""Empty: the work this library does has no unbounded source and keeps no state.
+
+A caller who wants to log predictions from a stream can call
+``plans.prediction_log.write`` from ``foreachBatch``.
+"""

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # handful of narrow columns, so that is some tens of megabytes.
 BROADCAST_ROWS = 200_000
 
+# Where a local session without a checkpoint folder remembers its own.
+_FALLBACK = "tidemark.local.folder"
+
 # Set on a session only where the caller (or the cluster) has not chosen.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,15 +37,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     The folder comes from the session. Only a local session, where driver and
     executors are one process, may fall back to a temporary folder; on a cluster
-    such a path would be lost with its machine.
+    such a path would be lost with its machine. Everything an application writes
+    lies under its own id, to be cleared as a whole once it is done.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_FALLBACK, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        spark.conf.set(_FALLBACK, base)
+    application = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/{application}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

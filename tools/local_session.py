@@ -21,7 +21,6 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.local.dir", f"{scratch}/local")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
-        .config("spark.checkpoint.dir", f"{scratch}/shared")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,6 +14,7 @@ from catalog.tables import (
     feature_table,
     panel,
     supplier_bound,
+    to_date_table,
 )
 from tidemark.operators import baselines, features, metrics, ordered, ranks, shrinkage
 from tidemark.plans import backtest
@@ -504,7 +505,7 @@ _FIXED_FROM = 1998
 )
 def shrunk_fixed_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later seasons predicted from a prior fitted once on the earlier ones."""
-    frame = feature_table(spark, sf_dir)
+    frame = to_date_table(spark, sf_dir)
     results = backtest.walk_forward_shrinkage(
         frame.where(F.col("season") >= _FIXED_FROM),
         past_seasons=frame.where(F.col("season") < _FIXED_FROM),
@@ -561,7 +562,7 @@ def shrunk_fixed_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_forward_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prior refitted before every period, for all periods in one job."""
     results = backtest.walk_forward_shrinkage(
-        feature_table(spark, sf_dir), group_rows=supplier_bound(spark, sf_dir)
+        to_date_table(spark, sf_dir), group_rows=supplier_bound(spark, sf_dir)
     )
     return rounded(results)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import features
+from tidemark.operators import clean, features
 from tidemark.session import tune, written
 
 MONTHS = 12
@@ -88,6 +88,13 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(feature_frame(spark, sf_dir), "features")
 
 
+def to_date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with the one feature shrinkage needs, as a written table."""
+    rows = clean.prepare(panel(spark, sf_dir)).drop("selected", "transfers_balance", "xP")
+    total = features.expanding("total_points")
+    return written(features.add_features(rows, [total], group_rows=MONTHS), "to-date")
+
+
 # The same panel and features in SQL, as common table expressions.
 PANEL_SQL = """
 cells AS (

@@ -71,7 +71,7 @@ def _by_window(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def _ranked_pairs(pairs: DataFrame, group: list[str], group_rows: int) -> DataFrame:
     """Rank both sides of counted (prediction, actual) pairs, then correlate."""
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "ranked-pairs")
     out = pairs
     for side in ("prediction", "actual"):
         shape = pairs.groupBy(*group, side).agg(F.sum("_n").alias("_m"))
@@ -99,7 +99,8 @@ def _ranked_pairs(pairs: DataFrame, group: list[str], group_rows: int) -> DataFr
 
 def _by_histogram(rows: DataFrame, group: list[str], group_rows: int) -> DataFrame:
     """Equal (prediction, actual) pairs are counted before anything is ranked."""
-    pairs = rows.groupBy(*group, "_played", "prediction", "actual").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*group, "_played", "prediction", "actual").agg(F.count("*").alias("_n"))
+    pairs = written(counts, "pairs")
     every = _ranked_pairs(
         pairs.groupBy(*group, "prediction", "actual").agg(F.sum("_n").alias("_n")),
         group,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import ordered
-from tidemark.session import counted
+from tidemark.session import counted, written
 from tidemark.spec import PanelSpec
 
 
@@ -38,6 +38,7 @@ def _rank_by_histogram(
     ranks back is an equi-join on (group, value), which adaptive execution splits
     where one value is hot.
     """
+    df = written(df, "ranked")
     shape = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     placed = ordered.with_totals_before(
         shape, keys, [F.col(value)], {"_before": F.col("_n")}, group_rows
@@ -52,7 +53,6 @@ def average_rank(
 ) -> DataFrame:
     """Average rank of ``value`` inside each group, ties sharing their middle.
 
-    The histogram plan reads ``df`` twice, so hand in a written table at scale.
     ``group_rows`` is a proven bound on the rows of a group; left out, it is
     measured with one aggregation.
     """
@@ -93,10 +93,10 @@ def price_bucket(
     spec = spec or PanelSpec()
     keys = spec.period_keys
     rows = ordered.resolve_group_rows(df, keys, group_rows)
-    ranked = average_rank(df, keys, spec.price, "_price_rank", group_rows=rows)
-    sized = group_length(ranked, keys, "_period_rows", group_rows=rows)
+    sized = group_length(df, keys, "_period_rows", group_rows=rows)
+    ranked = average_rank(sized, keys, spec.price, "_price_rank", group_rows=rows)
     bucket = bucket_of_rank(F.col("_price_rank"), F.col("_period_rows"), buckets)
-    return sized.withColumn("price_bucket", bucket).drop("_price_rank", "_period_rows")
+    return ranked.withColumn("price_bucket", bucket).drop("_price_rank", "_period_rows")
 
 
 def output_rank(

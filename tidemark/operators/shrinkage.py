@@ -175,15 +175,14 @@ def _strength_each_cutoff(
     An entity's state changes only in periods it has rows in, so each state is
     spread over the cutoffs it holds for by an explode. The spread rows go
     straight into a partial aggregation keyed by cutoff and are never shuffled.
-    Values are centred on their season's mean, which keeps the running sum of
-    squares well conditioned.
+    Values are centred on their overall mean, which changes no variance and keeps
+    the running sum of squares well conditioned.
     """
-    centre = counted(usable.groupBy(spec.season).agg(F.avg("_y").alias("_centre")), "centres")
+    centre = usable.agg(F.avg("_y")).scalar()
     # Sums per entity and period first: an entity with very many rows in one
     # season arrives at the window as one row per period.
     per_period = (
-        usable.join(centre, spec.season)
-        .withColumn("_d", F.col("_y") - F.col("_centre"))
+        usable.withColumn("_d", F.col("_y") - centre)
         .groupBy(*spec.entity_keys, spec.period)
         .agg(
             F.count("*").alias("_n"),

@@ -24,3 +24,4 @@ def small_groups(monkeypatch):
 
     monkeypatch.setattr(ordered, "WINDOW_GROUP_ROWS", 1)
     monkeypatch.setattr(ordered, "BUCKETS_PER_GROUP", 16)
+    monkeypatch.setattr(ordered, "HOT_VALUE_ROWS", 20)

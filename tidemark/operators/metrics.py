@@ -74,16 +74,18 @@ def _ranked_pairs(pairs: DataFrame, group: list[str], group_rows: int) -> DataFr
     pairs = written(pairs, "ranked-pairs")
     out = pairs
     for side in ("prediction", "actual"):
-        shape = pairs.groupBy(*group, side).agg(F.sum("_n").alias("_m"))
+        shape = pairs.groupBy(*group, side).agg(
+            F.sum("_n").alias("_m"), F.count("*").alias("_rows")
+        )
         placed = ordered.with_totals_before(
             shape, group, [F.col(side)], {"_before": F.col("_m")}, group_rows
         )
         first = F.coalesce(F.col("_before"), F.lit(0))
-        rank = (first + (F.col("_m") + 1) / F.lit(2.0)).alias(f"_{side}")
-        out = out.join(placed.select(*group, side, rank), [*group, side])
+        ranks_of = placed.withColumn(f"_{side}", first + (F.col("_m") + 1) / F.lit(2.0))
+        out = ordered.join_per_value(out, ranks_of, group, side, "_rows", f"_{side}")
     sizes = pairs.groupBy(*group).agg(F.sum("_n").alias("_size"))
     return (
-        out.join(counted(sizes, "group-sizes"), group)
+        ordered.matched(out, counted(sizes, "group-sizes"), group, "inner")
         .groupBy(*group)
         .agg(
             _spearman(
@@ -107,9 +109,8 @@ def _by_histogram(rows: DataFrame, group: list[str], group_rows: int) -> DataFra
         group_rows,
     )
     played = _ranked_pairs(pairs.where("_played").drop("_played"), group, group_rows)
-    return every.join(
-        played.withColumnsRenamed({"rho": "rho_played", "n": "n_played"}), group, "left"
-    ).withColumn("n_played", F.coalesce("n_played", F.lit(0)))
+    named = played.withColumnsRenamed({"rho": "rho_played", "n": "n_played"})
+    return ordered.matched(every, named, group, "left").withColumn("n_played", F.coalesce("n_played", F.lit(0)))
 
 
 def group_correlations(

@@ -13,6 +13,9 @@ split points after an executor is lost.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from tidemark.session import counted, written
 # Above this many rows per group the split path is taken.
 WINDOW_GROUP_ROWS = 4_000_000
 
+# A value shared by this many rows is joined by broadcast instead of by shuffle.
+HOT_VALUE_ROWS = 1_000_000
+
 # Buckets aimed at in the largest group; the search below finds up to 4095.
 BUCKETS_PER_GROUP = 1024
 _SEARCH_STEPS = [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
@@ -45,6 +51,13 @@ def sample_step(group_rows: int) -> int:
     return max(2, group_rows // BUCKETS_PER_GROUP)
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join in which a null key equals a null key, as it does when grouping."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def _bucket_of(marks: Column, at: Column) -> Column:
     """How many split points are at or before ``at``, by halving."""
     steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
@@ -70,7 +83,7 @@ def with_bucket(df: DataFrame, keys: list[str], order: list[Column], step: int)
         .agg(F.array_sort(F.collect_set("_at")).alias("_marks"))
     )
     marks = counted(marks, "split-points", F.size("_marks"))
-    joined = placed.join(marks, keys, "left")
+    joined = matched(placed, marks, keys, "left")
     return joined.withColumn("_bucket", _bucket_of(F.col("_marks"), F.col("_at"))).drop("_marks")
 
 
@@ -104,7 +117,7 @@ def with_totals_before(
         *slot, *[F.sum(f"_of_{name}").over(earlier).alias(f"_to_{name}") for name in totals]
     )
 
-    joined = local.join(carried, slot, "left")
+    joined = matched(local, carried, slot, "left")
     return joined.select(
         *df.columns,
         *[
@@ -116,3 +129,25 @@ def with_totals_before(
             for name in totals
         ],
     )
+
+
+def join_per_value(
+    df: DataFrame, values: DataFrame, keys: list[str], value: str, rows: str, out: str
+) -> DataFrame:
+    """Add ``out`` from a table with one row per (keys, value); ``rows`` is how often it occurs.
+
+    Three parts, so that no shuffle sends a hot value to one task: values with
+    many rows are few by arithmetic and go by broadcast, rows without a value need
+    no join, and what is left shuffles on (keys, value).
+    """
+    on = [*keys, value]
+    table = written(values.select(*on, rows, out), "per-value")
+    hot = counted(table.where(F.col(rows) >= HOT_VALUE_ROWS).select(*on, out), "hot-values")
+    cold = table.where(F.col(rows) < HOT_VALUE_ROWS).select(*on, out)
+    columns = [*df.columns, out]
+    filled = df.where(F.col(value).isNotNull())
+    empty = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    of_hot = matched(filled, hot, on, "inner").select(*columns)
+    others = matched(filled, hot, on, "left_anti")
+    of_cold = matched(others, cold, on, "inner").select(*columns)
+    return of_hot.unionByName(of_cold).unionByName(empty.select(*columns))

@@ -34,9 +34,8 @@ def _rank_by_histogram(
 ) -> DataFrame:
     """Equal values collapse to one counted row before anything is ordered.
 
-    A value that a third of the rows share is therefore one row here. Joining the
-    ranks back is an equi-join on (group, value), which adaptive execution splits
-    where one value is hot.
+    A value that a third of the rows share is therefore one row here, and its rank
+    goes back to those rows by broadcast.
     """
     df = written(df, "ranked")
     shape = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
@@ -44,8 +43,8 @@ def _rank_by_histogram(
         shape, keys, [F.col(value)], {"_before": F.col("_n")}, group_rows
     )
     first = F.coalesce(F.col("_before"), F.lit(0))
-    ranks = placed.select(*keys, value, (first + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+    ranks = placed.withColumn(out, first + (F.col("_n") + 1) / F.lit(2.0))
+    return ordered.join_per_value(df, ranks, keys, value, "_n", out)
 
 
 def average_rank(
@@ -68,7 +67,7 @@ def group_length(
     """Rows in the group, nulls included, on every row."""
     if ordered.needs_split(df, keys, group_rows):
         sizes = df.groupBy(*keys).agg(F.count("*").alias(out))
-        return df.join(counted(sizes, "group-sizes"), keys, "left")
+        return ordered.matched(df, counted(sizes, "group-sizes"), keys, "left")
     return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 

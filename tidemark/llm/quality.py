@@ -82,19 +82,20 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform("_words", lambda word: F.xxhash64(word)).alias("_h"),
     )
     for step in (1, 2, 4):  # hashes of 2, 4 and 8 words from their halves
-        rows = rows.withColumn(
-            "_h", F.zip_with("_h", F.slice("_h", step + 1, F.col("_n")), lambda a, b: F.xxhash64(a, b))
-        )
-    rows = rows.withColumn("_h", F.slice("_h", 1, F.greatest(F.col("_n") - (WINDOW - 1), F.lit(0))))
+        rows = rows.withColumn("_h", F.transform("_h", lambda h, at: F.xxhash64(h, F.get("_h", at + step))))
+    # The last seven windows are short ones, of as many words as are left; as no two of
+    # those are of one length, they equal no other.
     repeated = F.size(F.array_distinct("_h")) < F.size("_h")
-    return rows.select(
-        "_row",
+    counts = F.struct(
         F.col("_n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         F.when(repeated, _covered(F.col("_h"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # Filters on the counts stop at a generator; pushed below they would copy the
+    # expressions above once for each use.
+    return rows.select("_row", F.inline(F.array(counts)))
 
 
 def _covered(hashes: Column) -> Column:
@@ -104,20 +105,19 @@ def _covered(hashes: Column) -> Column:
     then sorted, and each adds the words up to the next, eight at most.
     """
     by_hash = F.sort_array(F.transform(hashes, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
-    twins = F.zip_with(
-        by_hash,
-        F.slice(by_hash, 2, F.size(hashes)),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])),
-    )
+    twins = _bound(by_hash, lambda all_: F.transform(all_, lambda a, i: F.when(
+        a["h"] == F.get(all_, i + 1)["h"], F.array(a["at"], F.get(all_, i + 1)["at"]))))
     places = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
-    steps = F.zip_with(
-        places,
-        F.slice(places, 2, F.size(hashes)),
-        lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))),
-    )
+    steps = _bound(places, lambda all_: F.transform(all_, lambda a, i: F.least(
+        F.lit(WINDOW), F.coalesce(F.get(all_, i + 1) - a, F.lit(WINDOW)))))
     return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
@@ -126,7 +126,7 @@ def base_failed() -> Column:
 
 def _value(m: Measure) -> Column:
     """Whole-number ratio; floor of a quotient of longs, without doubles."""
-    return F.expr(f"({m.scale} * {m.count}) div n_words")
+    return F.expr(f"({m.scale} * {m.count}) div greatest(n_words, 1)")
 
 
 def _bin(value: Column) -> Column:
@@ -219,14 +219,17 @@ def limits(sketch: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP)
     own = per_group.where("level = 0").drop("level")
     of_lang = per_group.where("level = 1").select(
         "lang", F.col("total").alias("lang_total"), F.col("bounds").alias("lang_bounds"))
-    of_all = per_group.where("level = 2").select(
-        F.lit(2).alias("k"), F.col("bounds").alias("all_bounds"))
+    # One row for all texts; without texts there is none, and no group either.
+    of_all = per_group.where("level = 2").select("bounds").first()
+    everywhere = F.array(*[F.struct(F.lit(b["low"]).alias("low"), F.lit(b["high"]).alias("high"))
+                           for b in (of_all["bounds"] if of_all else [])])
+    everywhere = everywhere.cast("array<struct<low:bigint,high:bigint>>")
     return (
-        own.join(of_lang, "lang", "left").withColumn("k", F.lit(2)).join(of_all, "k", "left")
+        own.join(of_lang, "lang", "left")
         .select("lang", "source",
                 F.when(F.col("total") >= min_group, F.col("bounds"))
                 .when(F.col("lang_total") >= min_group, F.col("lang_bounds"))
-                .otherwise(F.col("all_bounds")).alias("bounds"))
+                .otherwise(everywhere).alias("bounds"))
     )
 
 

@@ -6,20 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import language_model, mixing, packing, quality, secrets, simhash, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_simhash_groups": op2_simhash_groups,
+    "op3_language_model": op3_language_model,
+    "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_warc_archive": op8_warc_archive,
+    "op9_pack_sequences": op9_pack_sequences,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.sql(),
     "op6_quality_rules": quality.sql(),
 }

@@ -20,6 +20,7 @@ tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +39,8 @@ DIMENSIONS = 3
 BITS = 10
 SEED = 20
 
-# Words whose tokens a worker remembers; cleared when full, some 100 MB.
-REMEMBERED = 400_000
+# Words whose tokens a worker remembers; cleared when full, some 150 MB.
+REMEMBERED = 800_000
 
 
 def default_vocabulary() -> str:
@@ -48,34 +49,42 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokens:
-    """Token ids of texts, from remembered ids of their words.
+class WordTokens(dict):
+    """Token ids of words, little-endian unsigned 32 bit, remembered as they come up.
 
     No token of the vocabulary spans an ASCII blank, and normalisation does not cross
-    one either, so a text's ids are those of its words in a row.
+    one either, so a text's ids are those of its words in a row. Letters are lowered by
+    the vocabulary itself, so A-Z may be lowered before; a text with the start of a
+    special token, which counts capitals, is left as it is. A stop or comma after a
+    letter is a piece of its own, so words differing in it alone share their ids.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1:]]
+        else:
+            text = word.decode("utf-8", "surrogatepass")
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            encoded = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False
-            )
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        if len(self) > REMEMBERED:
+            self.clear()
+        out = []
+        for text in texts:
+            body = (text or "").encode("utf-8", "surrogatepass")
+            words = (body if b"<|" in body else body.lower()).split()
+            out.append(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4"))
+        return out
 
 
 _loaded: dict[str, WordTokens] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language_model, mixing, packing, quality, secrets, simhash, warc
+from tidemark.llm import html_text, language_model, lines, mixing, packing, quality, secrets, simhash, topk, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.visible_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -40,17 +48,25 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_language_model": op3_language_model,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_text": op5_html_text,
     "op6_quality_rules": op6_quality_rules,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_warc_archive": op8_warc_archive,
     "op9_pack_sequences": op9_pack_sequences,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.sql(),
     "op6_quality_rules": quality.sql(),
+    "op10_top_k": topk.sql(),
 }

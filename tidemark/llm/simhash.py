@@ -103,7 +103,8 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
     lanes[lane_of] = prints.view(np.uint64)
     used = np.packbits((place >= 0).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
     bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    packed_bits = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(packed_bits).view(np.uint64)[:, :, 0]
     found_a, found_b = [], []
     # A print meets the runs from its own on; earlier runs meet it themselves.
     own_run = lane_of // 64

@@ -41,6 +41,8 @@ def test_words_give_the_ids_of_whole_texts(spark):
     """Over whole texts of the given table, with marks, blanks and special strings."""
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["été ßßß ŉ ſ ĳ ĸ Éa éA µ ª ÿ,ÿ. a.. 'll. x,. ß's ß,", "".join(map(chr, range(0x20, 0x250)))]
+    texts += [" ".join(map(chr, range(0x20, 0x250))), "ab. ".join(map(chr, range(0x20, 0x250)))]
     texts += ["a ́b c\x1cd e", "İstanbul ΣΑΣ é", "x<|endoftext|>y <|startoftext|>", "it's we'll ''s 12a3"]
     ours = packing.word_tokens(packing.default_vocabulary()).ids(texts)
     for text, ids in zip(texts, ours):

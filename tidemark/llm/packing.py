@@ -19,6 +19,7 @@ tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -43,6 +44,17 @@ SEED = 20
 REMEMBERED = 800_000
 
 
+def _byte_letters() -> dict[int, int]:
+    """Letters by which byte-level vocabularies write bytes: printable ones stand for
+    themselves, the others, in order, for what follows U+00FF."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -65,13 +77,23 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        settings = json.loads(self.tokenizer.to_str())
+        kinds = [[x["type"] for x in (settings[k] or {}).get(of, [])]
+                 for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            raise ValueError(f"{path} is not a vocabulary of lower-case words")
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             found = self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode("utf-8", "surrogatepass")
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if text.isalpha() and max(text) < "\u0180" and text.lower() == text:
+                # Lower-case Latin letters are a piece as they are, in any normal form.
+                ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             found = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = found
         return found

@@ -124,8 +124,8 @@ def feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FEATURE_SET)
 def feature_set_by_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan for seasons too long for one task, forced here on short ones."""
-    built = features.build(panel(spark, sf_dir), group_rows=ordered.WINDOW_GROUP_ROWS + 1)
+    """The plan for seasons too long for one task, chosen here for short ones."""
+    built = features.build(panel(spark, sf_dir), group_rows=MONTHS, plan=ordered.SPLIT)
     return rounded(built.select(*KEYS, *_FEATURE_COLUMNS))
 
 
@@ -155,23 +155,24 @@ _RANK_SQL = f"""WITH {PANEL_SQL}, placed AS (
     FROM placed"""
 
 
-def _two_ranks(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+def _two_ranks(spark: SparkSession, sf_dir: str, plan: str | None = None) -> DataFrame:
     lean = panel(spark, sf_dir).select(*KEYS, "value", "transfers_balance")
     keys = SPEC.period_keys
-    by_value = ranks.average_rank(lean, keys, "value", "value_rank", group_rows=rows)
-    both = ranks.average_rank(by_value, keys, "transfers_balance", "flow_rank", group_rows=rows)
+    given = {"group_rows": supplier_bound(spark, sf_dir), "plan": plan}
+    by_value = ranks.average_rank(lean, keys, "value", "value_rank", **given)
+    both = ranks.average_rank(by_value, keys, "transfers_balance", "flow_rank", **given)
     return rounded(both.select(*KEYS, "value_rank", "flow_rank"))
 
 
 @query(_RANK_SQL)
 def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _two_ranks(spark, sf_dir, supplier_bound(spark, sf_dir))
+    return _two_ranks(spark, sf_dir)
 
 
 @query(_RANK_SQL)
 def average_rank_by_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan for periods too large for one task, forced here on small ones."""
-    return _two_ranks(spark, sf_dir, ordered.WINDOW_GROUP_ROWS + 1)
+    """The plan for periods too large for one task, chosen here for small ones."""
+    return _two_ranks(spark, sf_dir, ordered.SPLIT)
 
 
 _BUCKET_CTE = """, placed AS (
@@ -212,20 +213,22 @@ _OUTPUT_RANK = f"""WITH {FEATURE_SQL} SELECT season, round, code,
     FROM features"""
 
 
-def _output_rank(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+def _output_rank(spark: SparkSession, sf_dir: str, plan: str | None = None) -> DataFrame:
     scored = baselines.predict(feature_frame(spark, sf_dir), "rolling_mean5")
     lean = scored.select(*KEYS, "prediction")
-    return ranks.output_rank(lean, SPEC.period_keys, group_rows=rows).select(*KEYS, "rank")
+    rows = supplier_bound(spark, sf_dir)
+    ranked = ranks.output_rank(lean, SPEC.period_keys, group_rows=rows, plan=plan)
+    return ranked.select(*KEYS, "rank")
 
 
 @query(_OUTPUT_RANK)
 def output_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _output_rank(spark, sf_dir, supplier_bound(spark, sf_dir))
+    return _output_rank(spark, sf_dir)
 
 
 @query(_OUTPUT_RANK)
 def output_rank_by_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _output_rank(spark, sf_dir, ordered.WINDOW_GROUP_ROWS + 1)
+    return _output_rank(spark, sf_dir, ordered.SPLIT)
 
 
 # --- rules -------------------------------------------------------------------
@@ -331,20 +334,22 @@ _CORRELATION = f"""WITH {RESULT_SQL}, {correlation_sql()}
     FROM every LEFT JOIN played USING (baseline)"""
 
 
-def _correlation(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
+def _correlation(spark: SparkSession, sf_dir: str, plan: str | None = None) -> DataFrame:
+    rows = supplier_bound(spark, sf_dir)
+    results = _results(spark, sf_dir)
     return rounded(
-        metrics.rank_correlation(_results(spark, sf_dir), SPEC, ["baseline"], group_rows=rows)
+        metrics.rank_correlation(results, SPEC, ["baseline"], group_rows=rows, plan=plan)
     )
 
 
 @query(_CORRELATION)
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _correlation(spark, sf_dir, supplier_bound(spark, sf_dir))
+    return _correlation(spark, sf_dir)
 
 
 @query(_CORRELATION)
 def rank_correlation_by_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _correlation(spark, sf_dir, ordered.WINDOW_GROUP_ROWS + 1)
+    return _correlation(spark, sf_dir, ordered.SPLIT)
 
 
 _OVERLAP = """tops AS (

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered, ranks
@@ -69,3 +70,40 @@ def test_top_k_keeps_k_rows_per_group_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert top.groupBy("round").count().agg(F.max("count")).first()[0] == 3
+
+
+AWKWARD = [1.0, float("nan"), 3.0, None, 0.0, -0.0, 3.0, float("inf"), -float("inf"), None]
+
+
+def _awkward(spark, rows=240):
+    """Two groups, one with over 95 % of the rows; NaN, both zeros and nulls among ties."""
+    data = [(1 if i % 40 else 2, f"e{i:04d}", AWKWARD[i % 10] if i % 3 else float(i)) for i in range(rows)]
+    return spark.createDataFrame(data, "g int, code string, prediction double")
+
+
+@pytest.mark.parametrize("given", [None, 240])
+def test_plans_agree_on_nan_zeros_and_nulls(spark, monkeypatch, given):
+    monkeypatch.setattr(ordered, "BUCKETS_PER_GROUP", 16)
+    df = _awkward(spark)
+    for rank in (
+        lambda plan: ranks.output_rank(df, ["g"], group_rows=given, plan=plan),
+        lambda plan: ranks.average_rank(df, ["g"], "prediction", "rank", group_rows=given, plan=plan),
+        lambda plan: ranks.group_length(df, ["g"], "rank", group_rows=given, plan=plan),
+    ):
+        window, split = ({r.code: r["rank"] for r in rank(plan).collect()} for plan in (ordered.WINDOW, ordered.SPLIT))
+        assert window == split
+
+
+def test_a_bound_below_the_truth_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS_PER_GROUP", 16)
+    df = spark.range(4000).selectExpr("1 AS g", "id AS code", "cast(id as double) AS prediction")
+    with pytest.raises(ValueError, match="below its true size"):
+        ranks.output_rank(df, ["g"], group_rows=10, plan=ordered.SPLIT)
+
+
+def test_buckets_stay_even_beyond_the_aim(spark):
+    """Very many split points in one group: the search reaches all of them."""
+    df = spark.range(30_000).selectExpr("1 AS g", "id")
+    split = ordered.with_bucket(df, ["g"], [df.id], 10)
+    sizes = [r["count"] for r in split.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 2500 and max(sizes) < 20 * (sum(sizes) / len(sizes))

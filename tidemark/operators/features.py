@@ -163,16 +163,17 @@ def add_features(
     spec: PanelSpec | None = None,
     *,
     group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Add lagged and to-date columns; one exchange on (season, entity).
 
     ``group_rows`` bounds the rows of one entity's season, for instance by the
-    number of periods; left out, it is measured.
+    number of periods; left out, it is measured. ``plan`` picks a plan.
     """
     spec = spec or PanelSpec()
     keys, order = spec.entity_keys, spec.time_order(df)
-    rows = ordered.resolve_group_rows(df, keys, group_rows)
-    if rows > ordered.WINDOW_GROUP_ROWS:
+    rows = ordered.split_rows(df, keys, group_rows, plan)
+    if rows is not None:
         return _by_chunks(df, keys, order, features, rows)
     return _by_window(df, keys, order, features)
 
@@ -192,6 +193,7 @@ def build(
     classes: ColumnClasses = FOOTBALL,
     strict: bool = False,
     group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Clean the panel and add the standard feature set.
 
@@ -203,8 +205,10 @@ def build(
     features = standard_features(spec, classes)
     if strict:
         keys = [*spec.entity_keys, spec.period]
-        rolled = add_features(one_row_per_period(frame, spec), features, spec, group_rows=group_rows)
+        rolled = add_features(
+            one_row_per_period(frame, spec), features, spec, group_rows=group_rows, plan=plan
+        )
         frame = frame.join(rolled.select(*keys, *[f.name for f in features]), keys, "left")
     else:
-        frame = add_features(frame, features, spec, group_rows=group_rows)
+        frame = add_features(frame, features, spec, group_rows=group_rows, plan=plan)
     return frame.withColumn("points_per90_todate", per_full_exposure(spec))

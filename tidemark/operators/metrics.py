@@ -119,6 +119,7 @@ def group_correlations(
     by: list[str] | None = None,
     *,
     group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Spearman's rho per (by, season, period, group), over all and over played rows."""
     spec = spec or PanelSpec()
@@ -130,8 +131,8 @@ def group_correlations(
         (F.col("prediction").cast("double") + 0.0).alias("prediction"),
         (F.col("actual").cast("double") + 0.0).alias("actual"),
     )
-    size = ordered.resolve_group_rows(rows, group, group_rows)
-    if size > ordered.WINDOW_GROUP_ROWS:
+    size = ordered.split_rows(rows, group, group_rows, plan)
+    if size is not None:
         return _by_histogram(rows, group, size)
     return _by_window(rows, group)
 
@@ -143,9 +144,10 @@ def rank_correlation(
     *,
     min_group: int = fixed_values.MIN_GROUP,
     group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Mean rho over groups that are large enough and have spread; null if none."""
-    each = group_correlations(results, spec, by, group_rows=group_rows)
+    each = group_correlations(results, spec, by, group_rows=group_rows, plan=plan)
 
     def mean_of(rho: str, n: str) -> Column:
         return F.avg(F.when(F.col(n) >= min_group, F.col(rho)))

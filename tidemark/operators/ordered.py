@@ -27,9 +27,11 @@ WINDOW_GROUP_ROWS = 4_000_000
 # A value shared by this many rows is joined by broadcast instead of by shuffle.
 HOT_VALUE_ROWS = 1_000_000
 
-# Buckets aimed at in the largest group; the search below finds up to 4095.
+# Buckets aimed at in the largest group.
 BUCKETS_PER_GROUP = 1024
-_SEARCH_STEPS = [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
+
+# The two plans by name, for callers that choose one themselves.
+WINDOW, SPLIT = "window", "split"
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -43,8 +45,20 @@ def resolve_group_rows(df: DataFrame, keys: list[str], group_rows: int | None) -
     return largest_group(df, keys) if group_rows is None else group_rows
 
 
-def needs_split(df: DataFrame, keys: list[str], group_rows: int | None) -> bool:
-    return resolve_group_rows(df, keys, group_rows) > WINDOW_GROUP_ROWS
+def split_rows(
+    df: DataFrame, keys: list[str], group_rows: int | None, plan: str | None = None
+) -> int | None:
+    """Bound on a group's rows if the split plan is to run, None for the window plan.
+
+    ``plan`` names one of the two; both give the same rows. The bound of a split is
+    the caller's or measured, never made up: split points are spaced by it.
+    """
+    if plan not in (None, WINDOW, SPLIT):
+        raise ValueError(f"plan is {WINDOW!r} or {SPLIT!r}, not {plan!r}")
+    if plan == WINDOW:
+        return None
+    rows = resolve_group_rows(df, keys, group_rows)
+    return rows if plan == SPLIT or rows > WINDOW_GROUP_ROWS else None
 
 
 def sample_step(group_rows: int) -> int:
@@ -59,8 +73,15 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataF
 
 
 def _bucket_of(marks: Column, at: Column) -> Column:
-    """How many split points are at or before ``at``, by halving."""
-    steps = F.array(*[F.lit(s) for s in _SEARCH_STEPS])
+    """How many split points are at or before ``at``, by halving.
+
+    As many steps as the number of split points has binary digits, however many.
+    """
+    digits = F.length(F.bin(F.size(marks).cast("long")))
+    steps = F.transform(
+        F.sequence(digits - 1, F.lit(0), F.lit(-1)),
+        lambda bit: F.call_function("shiftleft", F.lit(1), bit),
+    )
 
     def halve(seen: Column, step: Column) -> Column:
         reached = F.get(marks, seen + step - F.lit(1)) <= at
@@ -83,6 +104,14 @@ def with_bucket(df: DataFrame, keys: list[str], order: list[Column], step: int)
         .agg(F.array_sort(F.collect_set("_at")).alias("_marks"))
     )
     marks = counted(marks, "split-points", F.size("_marks"))
+    # One number: split points come one in ``step`` rows, so far more of them mean that
+    # the bound was too low, and a bucket would grow with the group.
+    most = marks.agg(F.max(F.size("_marks"))).first()[0] or 0
+    if most > 4 * BUCKETS_PER_GROUP:
+        raise ValueError(
+            f"a group has {most} split points, {BUCKETS_PER_GROUP} were aimed at: "
+            "group_rows is below its true size"
+        )
     joined = matched(placed, marks, keys, "left")
     return joined.withColumn("_bucket", _bucket_of(F.col("_marks"), F.col("_at"))).drop("_marks")
 
@@ -117,7 +146,8 @@ def with_totals_before(
         *slot, *[F.sum(f"_of_{name}").over(earlier).alias(f"_to_{name}") for name in totals]
     )
 
-    joined = matched(local, carried, slot, "left")
+    # About a thousand rows a group: broadcast where that proves few in all.
+    joined = matched(local, counted(carried, "bucket-totals"), slot, "left")
     return joined.select(
         *df.columns,
         *[

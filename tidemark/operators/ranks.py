@@ -48,24 +48,35 @@ def _rank_by_histogram(
 
 
 def average_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, *, group_rows: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    out: str,
+    *,
+    group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Average rank of ``value`` inside each group, ties sharing their middle.
 
     ``group_rows`` is a proven bound on the rows of a group; left out, it is
-    measured with one aggregation.
+    measured with one aggregation. ``plan`` picks a plan whatever the bound.
     """
-    rows = ordered.resolve_group_rows(df, keys, group_rows)
-    if rows > ordered.WINDOW_GROUP_ROWS:
+    rows = ordered.split_rows(df, keys, group_rows, plan)
+    if rows is not None:
         return _rank_by_histogram(df, keys, value, out, rows)
     return df.withColumn(out, average_rank_column(F.col(value), keys))
 
 
 def group_length(
-    df: DataFrame, keys: list[str], out: str, *, group_rows: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    out: str,
+    *,
+    group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Rows in the group, nulls included, on every row."""
-    if ordered.needs_split(df, keys, group_rows):
+    if ordered.split_rows(df, keys, group_rows, plan) is not None:
         sizes = df.groupBy(*keys).agg(F.count("*").alias(out))
         return ordered.matched(df, counted(sizes, "group-sizes"), keys, "left")
     return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
@@ -84,6 +95,7 @@ def price_bucket(
     *,
     buckets: int = fixed_values.PRICE_BUCKETS,
     group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
     """Add ``price_bucket``: the price's rank within its period, cut in tenths.
 
@@ -92,8 +104,8 @@ def price_bucket(
     spec = spec or PanelSpec()
     keys = spec.period_keys
     rows = ordered.resolve_group_rows(df, keys, group_rows)
-    sized = group_length(df, keys, "_period_rows", group_rows=rows)
-    ranked = average_rank(sized, keys, spec.price, "_price_rank", group_rows=rows)
+    sized = group_length(df, keys, "_period_rows", group_rows=rows, plan=plan)
+    ranked = average_rank(sized, keys, spec.price, "_price_rank", group_rows=rows, plan=plan)
     bucket = bucket_of_rank(F.col("_price_rank"), F.col("_period_rows"), buckets)
     return ranked.withColumn("price_bucket", bucket).drop("_price_rank", "_period_rows")
 
@@ -106,12 +118,17 @@ def output_rank(
     *,
     out: str = "rank",
     group_rows: int | None = None,
+    plan: str | None = None,
 ) -> DataFrame:
-    """1..n by prediction, highest first, unscored rows last, ties by entity."""
-    rows = ordered.resolve_group_rows(df, keys, group_rows)
-    if rows > ordered.WINDOW_GROUP_ROWS:
+    """1..n by prediction, highest first, unscored rows last, ties by entity.
+
+    NaN counts as higher than any number, as it does in a descending sort.
+    """
+    rows = ordered.split_rows(df, keys, group_rows, plan)
+    if rows is not None:
         order = [
             F.col(prediction).isNull().alias("unscored"),
+            (~F.isnan(prediction)).alias("number"),
             (-F.col(prediction)).alias("height"),
             F.col(tiebreak).alias("tie"),
         ]

@@ -43,7 +43,6 @@ def same(ours, theirs):
 @pytest.mark.parametrize("known", [5, 200_000])
 def test_edges_equal_brute_force(edges, monkeypatch, known):
     monkeypatch.setattr(lm, "KNOWN", known)
-    monkeypatch.setattr(lm, "HEADS", min(known, 768))
     same([r[:6] for r in rows_of(lm.score(edges))], plain([r[:2] for r in edge_rows()]))
 
 

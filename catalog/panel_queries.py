@@ -233,7 +233,7 @@ def output_rank_by_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules -------------------------------------------------------------------
 
-_CROWD = """, crowd AS (
+CROWD_SQL = """, crowd AS (
       SELECT *, rank() OVER (PARTITION BY season, round ORDER BY selected)
                + (count(*) OVER (PARTITION BY season, round, selected) - 1) / 2.0
                + 0.5 * (rank() OVER (PARTITION BY season, round ORDER BY transfers_balance)
@@ -241,7 +241,7 @@ _CROWD = """, crowd AS (
                AS crowd_score
       FROM features)"""
 
-_RULE_SQL = {
+RULE_SQL = {
     "rate_x_exposure": "coalesce(points_per90_todate * minutes_mean5 / 90, 0)",
     "rolling_mean5": "coalesce(total_points_mean5, 0)",
     "published_forecast": 'coalesce("xP", 0)',
@@ -250,7 +250,7 @@ _RULE_SQL = {
 
 
 def _register_rule(rule: str, expression: str) -> None:
-    sql = f"""WITH {FEATURE_SQL}{_CROWD} SELECT season, round, code,
+    sql = f"""WITH {FEATURE_SQL}{CROWD_SQL} SELECT season, round, code,
       round(CAST({expression} AS DOUBLE), 6) AS prediction FROM crowd"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,20 +260,20 @@ def _register_rule(rule: str, expression: str) -> None:
     query(sql, name=f"rule_{rule}")(run)
 
 
-for _rule, _expression in _RULE_SQL.items():
+for _rule, _expression in RULE_SQL.items():
     _register_rule(_rule, _expression)
 
 _LONG = " UNION ALL ".join(
     f"""SELECT '{rule}' AS baseline, {str(rule != 'crowd').lower()} AS on_scale, season, round,
       code, name, position, CAST({expression} AS DOUBLE) AS prediction, total_points AS actual,
       minutes FROM crowd"""
-    for rule, expression in _RULE_SQL.items()
+    for rule, expression in RULE_SQL.items()
 )
-RESULT_SQL = f"{FEATURE_SQL}{_CROWD}, scored AS ({_LONG}), results AS (SELECT * FROM scored WHERE round >= 6)"
+RESULT_SQL = f"{FEATURE_SQL}{CROWD_SQL}, scored AS ({_LONG}), results AS (SELECT * FROM scored WHERE round >= 6)"
 
 
 @query(
-    f"""WITH {FEATURE_SQL}{_CROWD}, scored AS ({_LONG})
+    f"""WITH {FEATURE_SQL}{CROWD_SQL}, scored AS ({_LONG})
     SELECT baseline, season, round, code, round(prediction, 6) AS prediction FROM scored"""
 )
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import documents
-from catalog.panel_queries import KEYS, SPEC
+from catalog.panel_queries import CROWD_SQL, KEYS, RULE_SQL, SPEC
 from catalog.registry import query, rounded
 from catalog.tables import (
     FEATURE_SQL,
     MONTHS,
     PANEL_SQL,
-    feature_frame,
+    feature_table,
     labelled_suppliers,
     panel,
     supplier_bound,
@@ -22,6 +22,7 @@ from tidemark.classes import FOOTBALL
 from tidemark.functions import scalars
 from tidemark.functions.names import fold_name
 from tidemark.operators import audit, baselines, clean, combine, live, profile
+from tidemark.plans import audit_report as audit_report_plan
 from tidemark.plans import forecast, panel_build, prediction_log
 from tidemark.session import shared_folder
 from tidemark.sources import captures, seasons
@@ -209,12 +210,15 @@ def code_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT c_custkey, n_name AS team FROM customer
-    LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON n_nationkey = c_nationkey"""
+    LEFT JOIN nation ON n_nationkey = c_nationkey + CASE WHEN c_custkey % 5 = 0 THEN 100 ELSE 0 END"""
 )
 def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id to label; ids of one region are left out of the dimension and give null."""
-    labels = table(spark, sf_dir, "nation").where(F.col("n_regionkey") != 2)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    """Id to label; every fifth customer has an id that no nation has, and gets null."""
+    labels = table(spark, sf_dir, "nation")
+    moved = F.when(F.col("c_custkey") % 5 == 0, F.lit(100)).otherwise(F.lit(0))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_nationkey") + moved).alias("c_nationkey")
+    )
     found = combine.attach_label(rows, labels, "c_nationkey", "n_nationkey", "n_name", "team")
     return found.select("c_custkey", "team")
 
@@ -571,15 +575,16 @@ def newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_panel(spark: SparkSession, sf_dir: str, coded: bool = True) -> DataFrame:
-    """A panel of settled orders only, so that totals with open orders disagree."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
+    """A panel of all orders, of which open ones have no total yet, so that some disagree."""
+    orders = table(spark, sf_dir, "orders")
+    settled = F.col("o_orderstatus") != "P"
     customer = table(spark, sf_dir, "customer")
     code = (F.col("o_custkey") + 1000).cast("string") if coded else F.lit(None).cast("string")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         scalars.season_of_year(F.year("o_orderdate")).alias("season"),
         code.alias("code"),
         F.replace(F.col("c_name"), F.lit("#"), F.lit("_")).alias("name"),
-        F.floor("o_totalprice").cast("string").alias("total_points"),
+        F.when(settled, F.floor("o_totalprice")).cast("string").alias("total_points"),
     )
 
 
@@ -668,6 +673,43 @@ def audit_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.agreement(matched)
 
 
+@query(
+    f"""WITH {_DERIVED}, {_OFFICIAL}, runs AS (
+      SELECT * FROM official UNION ALL SELECT * REPLACE (run || '.2' AS run) FROM official)
+    SELECT run, count(*) AS matched, count(*) FILTER (WHERE official_points = backfill_points) AS agreed,
+      round(count(*) FILTER (WHERE official_points = backfill_points) / count(*), 4)
+        AS agreement_rate, CAST(NULL AS VARCHAR) AS note
+    FROM runs JOIN derived USING (season, code) GROUP BY run"""
+)
+def audit_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity captured in two runs; each run is counted on its own."""
+    matched = audit.matched_totals(_twice(_official(spark, sf_dir)), audit_panel(spark, sf_dir))
+    return audit.agreement(matched, ["run"])
+
+
+def _twice(df: DataFrame) -> DataFrame:
+    return df.unionByName(df.withColumn("run", F.concat("run", F.lit(".2"))))
+
+
+@query(
+    f"""WITH {_DERIVED}, {_OFFICIAL}, newest AS (SELECT max(run || '.2') AS run FROM official)
+    SELECT (SELECT run FROM newest) AS run, count(*) AS matched,
+      count(*) FILTER (WHERE official_points = backfill_points) AS agreed,
+      round(count(*) FILTER (WHERE official_points = backfill_points) / count(*), 4)
+        AS agreement_rate,
+      CASE WHEN count(*) = 0 THEN 'nothing matched' END AS note
+    FROM official JOIN derived USING (season, code)
+    WHERE run || '.2' = (SELECT run FROM newest)"""
+)
+def audit_newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit plan: the newest of all runs, of which each entity has two."""
+    return audit_report_plan.compare(
+        audit_panel(spark, sf_dir),
+        _twice(documents.bootstrap_documents(spark, sf_dir)),
+        _twice(documents.yearly_records(spark, sf_dir)),
+    ).report
+
+
 # --- sinks and round trips ---------------------------------------------------
 
 
@@ -688,7 +730,7 @@ def _write_season_folders(spark: SparkSession, sf_dir: str) -> tuple[str, list[s
     stored = f"{shared_folder(spark, 'panel')}"
     panel(spark, sf_dir).select(
         "season", "round", F.col("code").alias("element"),
-        F.concat("name", F.lit(" é")).alias("name"),
+        F.concat("name", F.when(F.col("season") % 2 == 0, "\n").otherwise(" "), F.lit("é")).alias("name"),
         "position", "total_points", "minutes", "value", "xP",
     ).write.partitionBy("season").parquet(stored)
     rows = spark.read.parquet(stored)
@@ -714,7 +756,8 @@ def _write_season_folders(spark: SparkSession, sf_dir: str) -> tuple[str, list[s
     f"""WITH {PANEL_SQL}
     SELECT CAST(season AS VARCHAR) || '-' || lpad(CAST((season + 1) % 100 AS VARCHAR), 2, '0')
         AS season,
-      CAST(round AS VARCHAR) AS round, CAST(code AS VARCHAR) AS element, name || ' é' AS name,
+      CAST(round AS VARCHAR) AS round, CAST(code AS VARCHAR) AS element,
+      name || CASE WHEN season % 2 = 0 THEN chr(10) ELSE ' ' END || 'é' AS name,
       position, CAST(total_points AS DOUBLE) AS total_points, CAST(minutes AS DOUBLE) AS minutes,
       value, CASE WHEN season >= 1998 THEN "xP" END AS "xP",
       CASE WHEN value IS NOT NULL THEN CAST(code + 200000 AS VARCHAR) END AS code,
@@ -722,7 +765,10 @@ def _write_season_folders(spark: SparkSession, sf_dir: str) -> tuple[str, list[s
     FROM panel"""
 )
 def panel_from_season_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV seasons in two encodings, with drifting headers, back to one panel."""
+    """CSV seasons in two encodings, with drifting headers, back to one panel.
+
+    Names of every other season hold a line break inside their quotes.
+    """
     root, labels = _write_season_folders(spark, sf_dir)
     built = panel_build.build(spark, root, labels)
     return clean.cast_numeric(built.rows, ["total_points", "minutes", "value", "xP"])
@@ -736,7 +782,8 @@ def panel_from_season_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
               ('teams.csv', 'missing'), ('players_raw.csv', 'ok')) t(file, status))
     SELECT season, file, status,
            CASE WHEN file <> 'gws/merged_gw.csv' THEN NULL
-                WHEN y < 1998 THEN 'latin-1' ELSE 'utf-8' END AS encoding
+                WHEN y < 1998 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+           status = 'ok' AS digested
     FROM labels CROSS JOIN files"""
 )
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -746,54 +793,59 @@ def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = seasons.detect_encodings(spark, root, labels, "gws/merged_gw.csv").withColumn(
         "file", F.lit("gws/merged_gw.csv")
     )
+    # Sizes and digests follow the writer's settings; that they are there is told here.
+    whole = (F.col("parts") > 0) & (F.col("bytes") > 0) & (F.length("sha256") == 64)
     return found.join(spelled, ["season", "file"], "left").select(
-        "season", "file", "status", "encoding"
+        "season", "file", "status", "encoding", F.coalesce(whole, F.lit(False)).alias("digested")
     )
 
 
-def _logged_period(spark: SparkSession, sf_dir: str) -> str:
-    """Log the latest period under two rules, in two steps; returns the log's root."""
-    frame = feature_frame(spark, sf_dir)
-    latest = frame.agg(F.max(F.struct("season", "round")).alias("at")).first()["at"]
-    target = frame.where(
-        (F.col("season") == latest.season) & (F.col("round") == latest["round"])
-    ).withColumn("code", F.col("code").cast("string"))
+LOGGED_PERIODS = 3
+
+
+def _logged_periods(spark: SparkSession, sf_dir: str) -> str:
+    """Log all rules for the latest periods, one write each; returns the log's root."""
+    frame = feature_table(spark, sf_dir)
+    periods = panel(spark, sf_dir).select("season", "round").distinct()
+    latest = periods.orderBy(F.desc("season"), F.desc("round")).limit(LOGGED_PERIODS).collect()
     root, rows = shared_folder(spark, "log"), supplier_bound(spark, sf_dir)
-    for rule in ("rolling_mean5", "rate_x_exposure"):
+    for at in latest:
+        target = frame.where(
+            (F.col("season") == at.season) & (F.col("round") == at["round"])
+        ).withColumn("code", F.col("code").cast("string"))
         prediction_log.write(
             spark,
             root,
-            season=str(latest.season),
-            gameweek=int(latest["round"]),
+            season=str(at.season),
+            gameweek=int(at["round"]),
             deadline="2999-01-01T00:00:00Z",
             capture="suppliers",
-            predictions={rule: baselines.predict(target, rule)},
+            predictions={rule: baselines.predict(target, rule) for rule in baselines.RULES},
             group_rows=rows,
         )
     return root
 
 
-_LATEST = f"""{FEATURE_SQL}, latest AS (
-      SELECT season, round FROM features ORDER BY season DESC, round DESC LIMIT 1),
-    target AS (SELECT f.*, CAST(code AS VARCHAR) AS id
-               FROM features f JOIN latest USING (season, round)),
-    logged AS (
-      SELECT 'rolling_mean5' AS model, *, coalesce(total_points_mean5, 0) AS prediction
-      FROM target
-      UNION ALL
-      SELECT 'rate_x_exposure', *, coalesce(points_per90_todate * minutes_mean5 / 90, 0)
-      FROM target)"""
+_EACH_RULE = " UNION ALL ".join(
+    f"""SELECT '{rule}' AS model, season, round, CAST(code AS VARCHAR) AS id, name, position, value,
+      CAST({expression} AS DOUBLE) AS prediction FROM crowd JOIN latest USING (season, round)"""
+    for rule, expression in RULE_SQL.items()
+)
+_LATEST = f"""{FEATURE_SQL}{CROWD_SQL}, latest AS (
+      SELECT DISTINCT season, round FROM features ORDER BY season DESC, round DESC
+      LIMIT {LOGGED_PERIODS}), logged AS ({_EACH_RULE})"""
 
 
 @query(
     f"""WITH {_LATEST}
     SELECT CAST(season AS VARCHAR) AS season, format('gw{{:02d}}', CAST(round AS INTEGER))
       AS gameweek, model, id AS code, name, position, value, round(prediction, 6) AS prediction,
-      CAST(row_number() OVER (PARTITION BY model ORDER BY prediction DESC, id) AS INTEGER) AS rank
+      CAST(row_number() OVER (PARTITION BY season, round, model ORDER BY prediction DESC NULLS LAST, id) AS INTEGER) AS rank
     FROM logged"""
 )
 def prediction_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(prediction_log.read_predictions(spark, _logged_period(spark, sf_dir)))
+    rows = prediction_log.read_predictions(spark, _logged_periods(spark, sf_dir))
+    return rounded(rows.drop("team"))
 
 
 @query(
@@ -803,7 +855,7 @@ def prediction_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM logged GROUP BY ALL"""
 )
 def prediction_log_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = prediction_log.read_manifest(spark, _logged_period(spark, sf_dir))
+    entries = prediction_log.read_manifest(spark, _logged_periods(spark, sf_dir))
     first = entries.where(F.col("made_at") == F.col("first_written_at"))
     per_period = first.groupBy("season", "gameweek").agg(
         F.count("*").cast("int").alias("models_of_first_write")
@@ -818,12 +870,4 @@ def prediction_log_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
       format('gw{{:02d}}', CAST(round AS INTEGER)) AS gameweek FROM logged"""
 )
 def logged_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prediction_log.list_logged(spark, _logged_period(spark, sf_dir))
-
-
-@query()
-def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables as stored files: name and length, contents unread."""
-    files = seasons.listing(spark, sf_dir, "*.parquet")
-    name = F.regexp_extract("path", r"([^/]+)[.]parquet$", 1)
-    return files.select(name.alias("name"), "length").orderBy("name")
+    return prediction_log.list_logged(spark, _logged_periods(spark, sf_dir))

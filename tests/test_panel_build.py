@@ -22,11 +22,11 @@ def season(root, label, body, encoding="utf-8", bridge=None):
 
 
 def test_two_encodings_and_drifting_columns(spark, tmp_path):
-    season(tmp_path, "2016-17", f"{HEAD}\nJosé Fonte,1,1,55,90,6\n", "latin-1")
-    season(tmp_path, "2024-25", f"{HEAD}, expected_goals \nJosé Fonte,1,1,55,90,6,0.4\n")
+    season(tmp_path, "2016-17", f"{HEAD}\nÁnna Própria,1,1,55,90,6\n", "latin-1")
+    season(tmp_path, "2024-25", f"{HEAD}, expected_goals \nÁnna Própria,1,1,55,90,6,0.4\n")
     built = panel_build.build(spark, str(tmp_path), ["2016-17", "2017-18", "2024-25"])
     rows = {r.season: r for r in built.rows.collect()}
-    assert {r.name for r in rows.values()} == {"José Fonte"}
+    assert {r.name for r in rows.values()} == {"Ánna Própria"}
     assert (rows["2016-17"].expected_goals, rows["2024-25"].expected_goals) == (None, "0.4")
     assert rows["2016-17"].code is None and rows["2016-17"].provenance == "backfill"
 
@@ -63,19 +63,31 @@ def test_ragged_and_quoted_lines(spark, tmp_path):
     assert rows["2"].name == 'B, "b"' and rows["2"].total_points is None
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    """One season has them, the other keeps its split reading; the ids file has one too."""
+    season(tmp_path, "2023-24", f'{HEAD}\n"A\nB",1,1,55,90,6\n"C ""\n""D",2,1,45,80,3\n',
+           bridge='id,code,first_name\n1,71,"x\ny"\n2,72,z\n')
+    season(tmp_path, "2024-25", f"{HEAD}\nE,3,1,55,90,6\n")
+    found = seasons.detect_formats(spark, str(tmp_path), ["2023-24", "2024-25"], "gws/merged_gw.csv")
+    assert {r.season: r.multi_line for r in found.collect()} == {"2023-24": True, "2024-25": False}
+    built = panel_build.build(spark, str(tmp_path), ["2023-24", "2024-25"])
+    assert {(r.name, r.code, r.total_points) for r in built.rows.collect()} == {
+        ("A\nB", "71", "6"), ('C "\n"D', "72", "3"), ("E", None, "6")}
+
+
 def test_bridge_follows_a_player_over_reassigned_ids(spark, tmp_path):
     head = "id,code,first_name,second_name\n"
-    season(tmp_path, "2019-20", f"{HEAD}\nJoseph W,11,1,45,90,6\nX,12,1,45,90,6\n",
-           bridge=head + "11,1,old,entry\n,5,no,id\n11,200089,Joseph,W\n")
-    season(tmp_path, "2025-26", f"{HEAD}\nJoe W,402,1,55,90,8\n",
-           bridge=head + "402,200089,Joe,W\n")
-    season(tmp_path, "2026-27", f"{HEAD}\nJoe W,7,1,55,90,8\n", bridge="id,first_name\n7,Joe\n")
+    season(tmp_path, "2019-20", f"{HEAD}\nEdwin Q,31,1,45,90,6\nX,12,1,45,90,6\n",
+           bridge=head + "31,1,old,entry\n,5,no,id\n31,700123,Edwin,Q\n")
+    season(tmp_path, "2025-26", f"{HEAD}\nEd Q,88,1,55,90,8\n",
+           bridge=head + "88,700123,Ed,Q\n")
+    season(tmp_path, "2026-27", f"{HEAD}\nEd Q,7,1,55,90,8\n", bridge="id,first_name\n7,Ed\n")
     built = panel_build.build(spark, str(tmp_path), ["2019-20", "2025-26", "2026-27"])
     codes = {(r.season, r.element): r.code for r in built.rows.collect()}
     # Of two rows for one id the later counts; an id without a row has no code.
     assert codes == {
-        ("2019-20", "11"): "200089", ("2019-20", "12"): None,
-        ("2025-26", "402"): "200089", ("2026-27", "7"): None,
+        ("2019-20", "31"): "700123", ("2019-20", "12"): None,
+        ("2025-26", "88"): "700123", ("2026-27", "7"): None,
     }
 
 

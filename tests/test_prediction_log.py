@@ -54,8 +54,24 @@ def test_late_writes_leave_nothing_behind(spark, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
-def test_rows_without_a_manifest_entry_are_not_overwritten(spark, tmp_path):
+def test_a_broken_off_write_leaves_the_model_free(spark, tmp_path, monkeypatch):
+    """Rows are there, their manifest row is not: nothing is read, and writing works."""
     root = str(tmp_path)
-    frame(spark).write.parquet(f"{root}/predictions/season=2026-27/gameweek=gw03/model=m1")
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+
+    def broken(rows):
+        raise RuntimeError("lost between rows and manifest")
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(log, "content_digest", broken)
         write(spark, root)
+    assert list((tmp_path / "predictions").rglob("*.parquet"))
+    assert log.read_predictions(spark, root).count() == 0
+    write(spark, root)
+    assert log.read_predictions(spark, root).count() == 4
+    assert log.list_logged(spark, root).count() == 1
+
+
+def test_names_that_look_like_numbers_stay_text(spark, tmp_path):
+    assert log.read_predictions(spark, str(tmp_path)).count() == 0
+    write(spark, str(tmp_path), "2024")
+    assert {r.model for r in log.read_predictions(spark, str(tmp_path)).collect()} == {"2024"}

@@ -96,9 +96,12 @@ def walk_forward_shrinkage(
     limits: shrinkage.FitLimits | None = None,
     first_period: int = FIRST,
     group_rows: int | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """Shrinkage with a prior fixed from past seasons, or refitted at every cutoff."""
     spec = spec or PanelSpec()
+    if check:
+        require_targets(frame, spec, first_period)
     if past_seasons is None:
         predicted = shrinkage.predict_walking(
             frame, spec, limits, first_period=first_period, group_rows=group_rows
@@ -123,6 +126,7 @@ def baseline_results(
     first_period: int = FIRST,
     group_rows: int | None = None,
     keep: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """Results of all rules in long form, keyed by ``baseline``.
 
@@ -130,6 +134,8 @@ def baseline_results(
     first: worth it whenever more than one metric reads them.
     """
     spec = spec or PanelSpec()
+    if check:
+        require_targets(frame, spec, first_period)
     target = frame.where(F.col(spec.period) >= first_period)
     wide = baselines.attach_all(target, spec, rules, group_rows=group_rows)
     wide = wide.select(*_result_columns(wide, spec))
@@ -160,7 +166,4 @@ def compare_baselines(
         on_scale=F.col("on_scale"),
         group_rows=group_rows,
     )
-    # One row per rule: a limit at that number drops nothing and lets Spark order
-    # the rows without sampling them for a range partitioning first.
-    best_first = scores.drop("on_scale").orderBy(F.col("rank_corr").desc_nulls_last(), "baseline")
-    return best_first.limit(len(rules or baselines.RULES))
+    return scores.drop("on_scale").orderBy(F.col("rank_corr").desc_nulls_last(), "baseline")

@@ -27,7 +27,7 @@ class Panel:
 def _present(spark: SparkSession, root: str, seasons: Sequence[str], file: str) -> list[str]:
     """Which of the asked seasons have the file: names only, at most one per season."""
     try:
-        found = source.found_files(spark, root, [file]).where(F.col("season").isin(list(seasons)))
+        found = source.listed_files(spark, root, [file]).where(F.col("season").isin(list(seasons)))
         have = {r.season for r in found.select("season").collect()}
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
@@ -36,9 +36,12 @@ def _present(spark: SparkSession, root: str, seasons: Sequence[str], file: str)
     return [s for s in seasons if s in have]
 
 
-def _encodings(spark: SparkSession, root: str, seasons: list[str], file: str) -> dict[str, str]:
-    rows = source.detect_encodings(spark, root, seasons, file).collect() if seasons else []
-    return {r.season: r.encoding for r in rows}
+def _formats(
+    spark: SparkSession, root: str, seasons: list[str], file: str
+) -> tuple[dict[str, str], set[str]]:
+    """Encodings by season, and the seasons with line breaks inside quotes."""
+    rows = source.detect_formats(spark, root, seasons, file).collect() if seasons else []
+    return {r.season: r.encoding for r in rows}, {r.season for r in rows if r.multi_line}
 
 
 def build(
@@ -60,17 +63,20 @@ def build(
     found = _present(spark, root, seasons, period_file)
     if not found:
         raise FileNotFoundError(f"no season folders with {period_file} under {root}")
-    known = encodings or _encodings(spark, root, found, period_file)
+    detected, broken = _formats(spark, root, found, period_file)
+    known = encodings or detected
     frames = [
-        source.read_season(spark, root, s, known.get(s, source.UTF8), classes=classes)
+        source.read_season(
+            spark, root, s, known.get(s, source.UTF8), classes=classes, multi_line=s in broken
+        )
         for s in found
     ]
     widths = {s: len(f.columns) - 1 for s, f in zip(found, frames)}
     aligned = combine.align([combine.tag(f, PROVENANCE) for f in frames], classes)
 
     bridged = _present(spark, root, seasons, bridge_file)
-    spelling = _encodings(spark, root, bridged, bridge_file)
-    bridge = source.read_bridge(spark, root, bridged, spelling)
+    spelling, broken = _formats(spark, root, bridged, bridge_file)
+    bridge = source.read_bridge(spark, root, bridged, spelling, multi_line=broken)
     if "element" in aligned.columns:
         aligned = combine.attach_code(aligned, bridge)
     elif "code" not in aligned.columns:

@@ -1,14 +1,16 @@
 """The append-only prediction log.
 
-Layout: ``<root>/predictions/season=S/gameweek=gwNN/model=M`` holds the rows and
-``<root>/manifest/season=S/gameweek=gwNN/model=M`` one row about them, both Parquet.
-Each path is written once, with ``errorifexists``. The manifest row goes last, so
-a model counts as logged only when its rows are complete.
+Layout: ``<root>/predictions/season=S/gameweek=gwNN/model=M/attempt=A`` holds the rows
+of one try to log a model, and ``<root>/manifest/season=S/gameweek=gwNN/model=M`` one row
+about those that count, which names the attempt. All of it is Parquet, and each path is
+written once, with ``errorifexists``. The manifest row goes last: what a try that broke
+off has left behind is never read, and the model is still free.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from datetime import UTC, datetime
 
@@ -23,11 +25,17 @@ SCHEMA_VERSION = 1
 
 MANIFEST = (
     "schema_version int, deadline timestamp, capture string, code_version string, "
-    "context string, rows bigint, digest string, made_at timestamp, "
+    "context string, rows bigint, digest string, made_at timestamp, attempt string, "
     "season string, gameweek string, model string"
 )
 
 
+# Types of the logged columns; those a model does not have are null when read.
+ROW_TYPES = {"value": "double", "prediction": "double", "rank": "int"}
+ROWS = ", ".join(f"{c} {ROW_TYPES.get(c, 'string')}" for c in fixed_values.PREDICTION_COLUMNS)
+PLACE = "season string, gameweek string, model string"
+
+
 def _partition(root: str, kind: str, season: str, gameweek: int, model: str) -> str:
     return f"{root.rstrip('/')}/{kind}/season={season}/gameweek=gw{gameweek:02d}/model={model}"
 
@@ -41,7 +49,7 @@ def instant(text: str) -> datetime:
 def guard_deadline(deadline: str | None, now: datetime | None = None) -> None:
     """Refuse once the deadline is past; without one there is nothing to guard."""
     if deadline is not None and (now or datetime.now(UTC)) > instant(deadline):
-        raise ValueError(f"the deadline {deadline} has passed; this would not be a prediction")
+        raise ValueError(f"deadline {deadline} has passed: rows made now are no forecast")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -65,9 +73,17 @@ def list_logged(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of every logged model; those of attempts without a manifest row stay out."""
     path = f"{root.rstrip('/')}/predictions"
-    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(path)
-    return rows.withColumn("season", F.col("season").cast("string"))
+    place = ["season", "gameweek", "model"]
+    entries = read_manifest(spark, root)
+    try:
+        rows = spark.read.schema(f"{ROWS}, {PLACE}, attempt string").option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{ROWS}, {PLACE}, attempt string")
+    return rows.join(entries, [*place, "attempt"], "left_semi").drop("attempt")
 
 
 def clashing_models(
@@ -100,7 +116,9 @@ def ranked_output(predictions: DataFrame, *, group_rows: int | None = None) -> D
     """The logged columns, with rank 1 for the highest prediction."""
     one = predictions.withColumn("_model", F.lit(0))
     ranked = ranks.output_rank(one, ["_model"], group_rows=group_rows)
-    return ranked.select(*output_columns(ranked))
+    return ranked.select(
+        *[F.col(c).cast(ROW_TYPES.get(c, "string")).alias(c) for c in output_columns(ranked)]
+    )
 
 
 def write(
@@ -122,17 +140,18 @@ def write(
     ``predictions`` maps a model's name to rows with at least code and prediction.
     Adding a model to a period before its deadline is allowed. Both guards run
     before anything is written. Two writers of one model at the same time are
-    held apart by ``errorifexists`` on the model's own path.
+    held apart by ``errorifexists`` on the model's manifest row.
     """
     guard_deadline(deadline, now)
     clashes = clashing_models(spark, root, season, gameweek, list(predictions))
     if clashes:
         raise FileExistsError(
-            f"{', '.join(clashes)} already logged for {season} gw{gameweek:02d}; "
-            "a logged prediction is never rewritten"
+            f"the log of {season} gw{gameweek:02d} holds {', '.join(clashes)}; "
+            "its rows stay as they are"
         )
     for model, frame in predictions.items():
-        target = _partition(root, "predictions", season, gameweek, model)
+        attempt = uuid.uuid4().hex
+        target = f"{_partition(root, 'predictions', season, gameweek, model)}/attempt={attempt}"
         ranked_output(frame, group_rows=group_rows).write.mode("errorifexists").parquet(target)
         # Counted and hashed as stored, not as planned.
         about = content_digest(spark.read.parquet(target)).select(
@@ -144,6 +163,7 @@ def write(
             "rows",
             "digest",
             F.current_timestamp().alias("made_at"),
+            F.lit(attempt).alias("attempt"),
         )
         entry = _partition(root, "manifest", season, gameweek, model)
         about.coalesce(1).write.mode("errorifexists").parquet(entry)

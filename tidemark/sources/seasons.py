@@ -7,7 +7,7 @@ by ``operators.clean``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +41,30 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 def found_files(
     spark: SparkSession, root: str, files: Sequence[str] = tuple(fixed_values.SEASON_FILES)
 ) -> DataFrame:
-    """season, file, parts, bytes of what is there."""
+    """season, file, parts, bytes and sha256 of what is there."""
     season, relative = _located(F.col("path"), files)
+    parts = F.sort_array(F.collect_list(F.struct("path", "sha256")))["sha256"]
     return (
-        listing(spark, root, "*.csv")
-        .select(season.alias("season"), relative.alias("file"), "length")
+        file_digests(spark, root, "*.csv")
+        .select(season.alias("season"), relative.alias("file"), "path", "length", "sha256")
         .where(F.col("file").isNotNull())
         .groupBy("season", "file")
-        .agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"))
+        .agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"), parts.alias("_all"))
+        .select(
+            "season", "file", "parts", "bytes",
+            F.when(F.size("_all") == 1, F.col("_all")[0])
+            .otherwise(F.sha2(F.array_join("_all", ""), 256)).alias("sha256"),
+        )
     )
 
 
+def listed_files(spark: SparkSession, root: str, files: Sequence[str]) -> DataFrame:
+    """season and file of what is there, from the listing alone."""
+    season, relative = _located(F.col("path"), files)
+    found = listing(spark, root, "*.csv").select(season.alias("season"), relative.alias("file"))
+    return found.where(F.col("file").isNotNull()).distinct()
+
+
 def source_inventory(
     spark: SparkSession,
     root: str,
@@ -60,7 +73,8 @@ def source_inventory(
 ) -> DataFrame:
     """One row per expected season and file, found or missing.
 
-    A missing file is a fact about its season, not an error.
+    A missing file is a fact about its season, not an error. ``sha256`` is the digest of
+    the parts' digests in path order, or of a single file itself.
     """
     expected = spark.createDataFrame(
         [(s, f) for s in seasons for f in files], "season string, file string"
@@ -72,6 +86,7 @@ def source_inventory(
         F.when(F.col("parts").isNotNull(), "ok").otherwise("missing").alias("status"),
         F.coalesce("parts", F.lit(0)).alias("parts"),
         F.coalesce("bytes", F.lit(0)).alias("bytes"),
+        "sha256",
     )
 
 
@@ -90,27 +105,47 @@ def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
-def detect_encodings(spark: SparkSession, root: str, seasons: Sequence[str], file: str) -> DataFrame:
-    """season, encoding: UTF-8 if every line of its files is valid, else latin-1.
+def detect_formats(spark: SparkSession, root: str, seasons: Sequence[str], file: str) -> DataFrame:
+    """season, encoding and multi_line, from one pass over the lines of its files.
 
-    Lines keep their bytes as stored, so validity is tested line by line on split
-    files and combined; no file is ever held whole.
+    The encoding is UTF-8 if every line is valid, else latin-1. A field with a line
+    break in it leaves a line with an odd number of quotes. Lines keep their bytes as
+    stored and are tested on split files; no file is ever held whole.
     """
     lines = spark.read.text([csv_path(root, s, file) for s in seasons])
     season, _ = _located(F.col("_metadata.file_path"), [file])
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     return (
-        lines.select(season.alias("season"), F.is_valid_utf8("value").alias("valid"))
+        lines.select(
+            season.alias("season"), F.is_valid_utf8("value").alias("valid"),
+            (quotes % 2 == 1).alias("odd"),
+        )
         .groupBy("season")
-        .agg(F.when(F.bool_and("valid"), UTF8).otherwise(LATIN1).alias("encoding"))
+        .agg(
+            F.when(F.bool_and("valid"), UTF8).otherwise(LATIN1).alias("encoding"),
+            F.bool_or("odd").alias("multi_line"),
+        )
     )
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = UTF8) -> DataFrame:
-    """All strings, header names trimmed; extra fields dropped, short rows padded."""
+def detect_encodings(spark: SparkSession, root: str, seasons: Sequence[str], file: str) -> DataFrame:
+    """season and encoding of ``detect_formats``."""
+    return detect_formats(spark, root, seasons, file).select("season", "encoding")
+
+
+def read_csv(
+    spark: SparkSession, path: str, encoding: str = UTF8, *, multi_line: bool = False
+) -> DataFrame:
+    """All strings, header names trimmed; extra fields dropped, short rows padded.
+
+    With ``multi_line`` quoted fields may hold line breaks; such files are read whole,
+    a task each, so it is for the seasons that need it.
+    """
     raw = (
         spark.read.option("header", True)
         .option("encoding", _SPARK_CHARSET[encoding])
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
     return raw.toDF(*[c.strip() for c in raw.columns])
@@ -124,9 +159,10 @@ def read_season(
     *,
     file: str = fixed_values.PERIOD_FILE,
     classes: ColumnClasses = FOOTBALL,
+    multi_line: bool = False,
 ) -> DataFrame:
     """One season's rows. Unclassified columns stop the read before any job runs."""
-    frame = read_csv(spark, csv_path(root, season, file), encoding)
+    frame = read_csv(spark, csv_path(root, season, file), encoding, multi_line=multi_line)
     classes.check(frame.columns)
     return frame.withColumn("season", F.lit(season))
 
@@ -138,12 +174,14 @@ def read_bridge(
     encodings: dict[str, str] | None = None,
     *,
     file: str = fixed_values.BRIDGE_FILE,
+    multi_line: Collection[str] = (),
 ) -> DataFrame:
     """season, element, code. Of two rows for one id, the later in the file counts."""
     parts = []
     for season in seasons:
         encoding = (encodings or {}).get(season, UTF8)
-        frame = read_csv(spark, csv_path(root, season, file), encoding)
+        path = csv_path(root, season, file)
+        frame = read_csv(spark, path, encoding, multi_line=season in multi_line)
         if {"id", "code"} <= set(frame.columns):
             at = F.struct(
                 F.col("_metadata.file_path"),

@@ -52,7 +52,7 @@ MEASURES = (
     Measure("word_length", "word_chars", 100, 300, both_sides=True),
     Measure("symbols", "n_symbols", 1000, 100),
     Measure("dup_lines", "n_dup_lines", 1000, 100),
-    Measure("repeats", "n_repeat_words", 1000, 200),
+    Measure("repeats", "n_repeat_words", 1000, 300),
 )
 SPREAD = 8
 MIN_GROUP = 100

@@ -32,6 +32,10 @@ HEADLINE = [
     "audit_by_name",
     "folded_names",
     "forecast_next_period",
+    "feature_set_by_chunks",
+    "average_rank_by_histogram",
+    "output_rank_by_buckets",
+    "rank_correlation_by_histogram",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

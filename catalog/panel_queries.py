@@ -255,7 +255,8 @@ def _register_rule(rule: str, expression: str) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame = feature_frame(spark, sf_dir)
-        return rounded(baselines.predict(frame, rule).select(*KEYS, "prediction"))
+        predicted = baselines.predict(frame, rule, group_rows=supplier_bound(spark, sf_dir))
+        return rounded(predicted.select(*KEYS, "prediction"))
 
     query(sql, name=f"rule_{rule}")(run)
 

@@ -820,7 +820,9 @@ def _logged_periods(spark: SparkSession, sf_dir: str) -> str:
             gameweek=int(at["round"]),
             deadline="2999-01-01T00:00:00Z",
             capture="suppliers",
-            predictions={rule: baselines.predict(target, rule) for rule in baselines.RULES},
+            predictions={
+                rule: baselines.predict(target, rule, group_rows=rows) for rule in baselines.RULES
+            },
             group_rows=rows,
         )
     return root

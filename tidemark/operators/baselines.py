@@ -16,17 +16,29 @@ from tidemark import fixed_values
 from tidemark.operators import ordered, ranks
 from tidemark.spec import PanelSpec
 
-Attach = Callable[[DataFrame, PanelSpec, str], DataFrame]
+Attach = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``on_scale`` says whether predictions are in units of the outcome."""
+    """``on_scale`` says whether predictions are in units of the outcome.
+
+    ``attach`` takes (frame, spec, out), and ``group_rows``, a bound on the rows of a
+    period, if the rule ``ranks`` inside periods.
+    """
 
     name: str
     on_scale: bool
     description: str
     attach: Attach
+    ranks: bool = False
+
+    def apply(
+        self, df: DataFrame, spec: PanelSpec, out: str, group_rows: int | None = None
+    ) -> DataFrame:
+        if self.ranks:
+            return self.attach(df, spec, out, group_rows=group_rows)
+        return self.attach(df, spec, out)
 
 
 RULES: dict[str, Rule] = {}
@@ -98,17 +110,23 @@ register(
         False,
         "Ownership plus this period's net movement: what the crowd thinks.",
         attach_crowd,
+        ranks=True,
     )
 )
 
 
 def predict(
-    df: DataFrame, name: str, spec: PanelSpec | None = None, out: str = "prediction"
+    df: DataFrame,
+    name: str,
+    spec: PanelSpec | None = None,
+    out: str = "prediction",
+    *,
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """Attach one rule's prediction."""
+    """Attach one rule's prediction; a ranking rule takes the bound on a period's rows."""
     if name not in RULES:
         raise KeyError(f"no rule named {name}; known: {', '.join(sorted(RULES))}")
-    return RULES[name].attach(df, spec or PanelSpec(), out)
+    return RULES[name].apply(df, spec or PanelSpec(), out, group_rows)
 
 
 def attach_all(
@@ -122,11 +140,7 @@ def attach_all(
     spec = spec or PanelSpec()
     wide = df
     for name in rules or RULES:
-        attach, out = RULES[name].attach, f"_by_{name}"
-        if attach is attach_crowd:
-            wide = attach_crowd(wide, spec, out, group_rows=group_rows)
-        else:
-            wide = attach(wide, spec, out)
+        wide = RULES[name].apply(wide, spec, f"_by_{name}", group_rows)
     return wide
 
 

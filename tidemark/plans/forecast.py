@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import baselines, features, live
 from tidemark.plans import prediction_log
+from tidemark.session import written
 from tidemark.sources import captures
 from tidemark.spec import PanelSpec
 
@@ -16,29 +17,39 @@ from tidemark.spec import PanelSpec
 RUN_SPEC = PanelSpec(season="run_season")
 
 
-def largest_run(bootstrap: DataFrame, summaries: DataFrame) -> int:
-    """Most rows any run has, counted from array lengths; no run's season of one
-    entity, and no period, can have more."""
-    total = F.col("completed_rows") + F.col("upcoming_rows")
-    return int(live.context(bootstrap, summaries).agg(F.max(total)).first()[0] or 0)
+def season_bound(summaries: DataFrame) -> int:
+    """Most rows one entity has in one run: its completed ones and the stub."""
+    each = summaries.groupBy("run", "element").agg(
+        F.sum(F.greatest(F.size("history"), F.lit(0))).alias("n")
+    )
+    return int(each.agg(F.max("n")).first()[0] or 0) + 1
+
+
+def period_bound(bootstrap: DataFrame) -> int:
+    """Most rows one run's next period has: the entities it lists."""
+    each = bootstrap.groupBy("run").agg(
+        F.sum(F.greatest(F.size("elements"), F.lit(0))).alias("n")
+    )
+    return int(each.agg(F.max("n")).first()[0] or 0)
 
 
 def next_period_predictions(
-    bootstrap: DataFrame, summaries: DataFrame, *, group_rows: int | None = None
+    bootstrap: DataFrame, summaries: DataFrame, *, period_rows: int | None = None
 ) -> DataFrame:
     """Every rule's prediction for each run's next period, in long form.
 
     Completed rows and stubs share one feature pass, so the stub's lagged columns
-    end at the deadline with no special case.
+    end at the deadline with no special case. Features run in one entity's season,
+    ranks in one period, each with a bound of its own from array lengths.
     """
-    if group_rows is None:
-        group_rows = largest_run(bootstrap, summaries)
     rows = live.build(bootstrap, summaries).withColumn(
         "run_season", F.concat_ws("|", "run", "season")
     )
-    featured = features.build(rows, RUN_SPEC, group_rows=group_rows)
+    featured = features.build(rows, RUN_SPEC, group_rows=season_bound(summaries))
     target = live.next_period_rows(featured, captures.period_context(bootstrap))
-    return baselines.predict_all(target, RUN_SPEC, group_rows=group_rows)
+    if period_rows is None:
+        period_rows = period_bound(bootstrap)
+    return baselines.predict_all(target, RUN_SPEC, group_rows=period_rows)
 
 
 def forecast(
@@ -49,7 +60,7 @@ def forecast(
     capture: str | None = None,
     code_version: str | None = None,
     now: datetime | None = None,
-    group_rows: int | None = None,
+    period_rows: int | None = None,
 ) -> dict[str, object]:
     """Predict and log. Returns the run's context, one small row."""
     bootstrap = captures.read_bootstrap(spark, raw_root)
@@ -68,26 +79,26 @@ def forecast(
     if about["next_gameweek"] is None:
         raise ValueError(f"run {capture} has no period still to come")
     prediction_log.guard_deadline(about["deadline"], now)
-    if group_rows is None:
-        group_rows = about["completed_rows"] + about["upcoming_rows"]
-
-    predicted = next_period_predictions(bootstrap, summaries, group_rows=group_rows).persist()
-    try:
-        prediction_log.write(
-            spark,
-            log_root,
-            season=about["season"],
-            gameweek=int(about["next_gameweek"]),
-            deadline=about["deadline"],
-            capture=capture,
-            predictions={
-                name: predicted.where(F.col("baseline") == name) for name in baselines.RULES
-            },
-            context=about,
-            code_version=code_version,
-            now=now,
-            group_rows=group_rows,
-        )
-    finally:
-        predicted.unpersist()
+    if period_rows is None:
+        period_rows = about["upcoming_rows"]
+
+    # Written, as each rule reads it: lost executors lose none of it.
+    predicted = written(
+        next_period_predictions(bootstrap, summaries, period_rows=period_rows), "forecast"
+    )
+    prediction_log.write(
+        spark,
+        log_root,
+        season=about["season"],
+        gameweek=int(about["next_gameweek"]),
+        deadline=about["deadline"],
+        capture=capture,
+        predictions={
+            name: predicted.where(F.col("baseline") == name) for name in baselines.RULES
+        },
+        context=about,
+        code_version=code_version,
+        now=now,
+        group_rows=period_rows,
+    )
     return about

@@ -20,6 +20,7 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{scratch}/shared")
         .config("spark.local.dir", f"{scratch}/local")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .getOrCreate()

@@ -19,8 +19,8 @@ tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,8 +40,8 @@ DIMENSIONS = 3
 BITS = 10
 SEED = 20
 
-# Words whose tokens a worker remembers; cleared when full, some 150 MB.
-REMEMBERED = 800_000
+# Words whose tokens a worker remembers; cleared when full, some 50 MB.
+REMEMBERED = 250_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -78,10 +78,9 @@ class WordTokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        settings = json.loads(self.tokenizer.to_str())
-        kinds = [[x["type"] for x in (settings[k] or {}).get(of, [])]
-                 for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+        steps = [re.findall(r"\b(?:NFC|Replace|Lowercase|Split|ByteLevel)\b", str(x))
+                 for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
             raise ValueError(f"{path} is not a vocabulary of lower-case words")
 
     def __missing__(self, word: bytes) -> bytes:

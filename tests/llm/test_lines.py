@@ -50,6 +50,9 @@ def test_passages_go_and_clean_texts_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.spans for r in lines.repeats(docs).collect()}
     assert {k for k, v in found.items() if v} == {101, 102}
+    rows_ = rows_of(lines.removals(docs))
+    assert {(r[0], f"{r[1]}:{r[2]}") for r in rows_} == {(k, v) for k, v in found.items() if v}
+    assert all(r[4] >= 25 for r in rows_)
     texts = {r.doc_id: r.text for r in lines.clean(docs).collect()}
     assert texts[100] == dict(rows)[100]
     assert passage.upper() not in texts[101] and len(texts[101]) < 400

@@ -69,8 +69,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def runs(repeated: list[int], starts: list[int], ends: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """start, end and number of units of each run of neighbouring repeats that is long enough."""
+def runs(repeated: list[int], starts: list[int], ends: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int, int]]:
+    """start, end, units and words of each run of neighbouring repeats that is long enough."""
     out, at = [], 0
     repeated = sorted(repeated)
     while at < len(repeated):
@@ -78,8 +78,9 @@ def runs(repeated: list[int], starts: list[int], ends: list[int], words: list[in
         while to + 1 < len(repeated) and repeated[to + 1] == repeated[to] + 1:
             to += 1
         first, last = repeated[at], repeated[to]
-        if sum(words[first : last + 1]) >= min_words:
-            out.append((starts[first], ends[last], last - first + 1))
+        total = sum(words[first : last + 1])
+        if total >= min_words:
+            out.append((starts[first], ends[last], last - first + 1, total))
         at = to + 1
     return out
 
@@ -118,10 +119,10 @@ def _found(docs: DataFrame, key: str, text: str, min_words: int, rid: str | None
     # As many entries for a document as it has units.
     of_document = later.groupBy("_rid").agg(F.collect_list("at").alias("repeated"))
 
-    @F.pandas_udf("array<struct<start:int,end:int,units:int>>")
+    @F.pandas_udf("array<struct<start:int,end:int,units:int,words:int>>")
     def spans(repeated: pd.Series, starts: pd.Series, ends: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([
-            [] if r is None else [dict(start=s, end=e, units=n) for s, e, n in
+            [] if r is None else [dict(start=s, end=e, units=n, words=m) for s, e, n, m in
                                   runs(r.tolist(), a.tolist(), b.tolist(), w.tolist(), min_words)]
             for r, a, b, w in zip(repeated, starts, ends, words)
         ])
@@ -136,9 +137,19 @@ def _found(docs: DataFrame, key: str, text: str, min_words: int, rid: str | None
     )
 
 
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each passage to remove: key, start and end in the original text (code
+    points), n_units and n_words. Texts are read once and not moved."""
+    found = _found(docs, key, text, min_words)
+    return found.select(F.col("_key").alias(key), F.inline("spans")).select(
+        key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+        F.col("units").cast("long").alias("n_units"), F.col("words").cast("long").alias("n_words"),
+    )
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """key, n_units, n_removed, removed_chars and spans (start:end in the original text,
-    code points, comma-joined) of each row; texts are read once and not moved."""
+    """key, n_units, n_removed, removed_chars and spans (start:end, comma-joined) of each
+    row, those without a repeat included."""
     found = _found(docs, key, text, min_words)
     return found.select(
         F.col("_key").alias(key), "n_units", "n_removed", "removed_chars",

@@ -37,7 +37,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeats(table(spark, sf_dir, "documents"))
+    """The passages to remove; documents without any have no row."""
+    return lines.removals(table(spark, sf_dir, "documents"))
 
 
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,16 +122,31 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """``counts`` is a written table; at most ``KNOWN`` words and ``TAILS`` totals come here."""
+    """``counts`` is a written table; some ``KNOWN`` words and ``TAILS`` totals come here.
+
+    A sort with a limit would send that many rows from every task, so the known words are
+    those above a count that few enough reach, found in a histogram of the counts on a
+    logarithmic scale; the model's classes, a few hundred, are sorted out exactly.
+    """
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").collect()
-    words = [bytes(r[0]) for r in known]
-    # Heads are the first words of the same order; the sums leave them out again.
+    heads = [(bytes(r[0]), r[1]) for r in
+             counts.orderBy(F.desc("n"), "word").limit(HEADS).select("word", "n").collect()]
+    step = F.floor(F.log2("n") * 16)
+    least, so_far = None, 0
+    for bin_, words in sorted(map(tuple, counts.groupBy(step.alias("b")).count().collect()), reverse=True):
+        so_far += words
+        if so_far > KNOWN:
+            break
+        least = bin_
+    common = [] if least is None else counts.where(step >= least).select("word", "n").collect()
+    chosen = dict(heads)
+    rest = sorted(((bytes(r[0]), r[1]) for r in common if bytes(r[0]) not in chosen), key=lambda x: (-x[1], x[0]))
+    known = heads + rest
     sums = {r[0]: (r[1], r[2]) for r in counts.groupBy("tail").agg(F.sum("n"), F.count("*")).collect()}
-    for w, r in zip(words[:HEADS], known):
-        tokens, types = sums[tail_class(w)]
-        sums[tail_class(w)] = (tokens - r[1], types - 1)
-    return Vocabulary(words, [r[1] for r in known], sums, total[0] or 0, total[1])
+    for word, n in heads:  # they are classes of their own
+        tokens, types = sums[tail_class(word)]
+        sums[tail_class(word)] = (tokens - n, types - 1)
+    return Vocabulary([w for w, _ in known], [n for _, n in known], sums, total[0] or 0, total[1])
 
 
 def indexed(texts: list[str | None], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

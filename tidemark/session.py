@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +27,30 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Run names and deadlines are UTC instants, so the session must be too."""
+    """Run names and deadlines are UTC instants, so the session must be too.
+
+    Python workers look for the package where the driver found it, which serves local
+    sessions started in any folder; on a cluster it is installed or sent along.
+    """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
 
 
+def release(spark: SparkSession) -> None:
+    """Remove every table this application has written to the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_FALLBACK, None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, seen by every executor.
 

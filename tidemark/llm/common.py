@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Session settings of this package: UTC, adaptive plans, small Arrow batches."""
+    """Session settings of this package: those of ``tune``, and small Arrow batches."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
@@ -42,11 +40,3 @@ def byte_words(text: str | None) -> list[bytes]:
 def packed(docs: DataFrame, name: str = "_row") -> DataFrame:
     """The whole row as one struct, so that own columns cannot clash with the given."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
-
-
-def given(docs: DataFrame, *names: str) -> list[Column]:
-    """The named columns, found whatever else the table holds."""
-    return [F.col(f"`{n}`") for n in names]
-
-
-ASCII_BLANKS = re.compile(r"[\x20\x09-\x0D]+")

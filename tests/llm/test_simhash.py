@@ -99,6 +99,14 @@ def test_one_of_each_group_stays(spark, edges):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(groups.keys())
 
 
+def test_groups_without_keys_keep_one_row_each(spark):
+    texts = ["alpha beta gamma delta", "one two three four five"]
+    rows = [(None, t) for t in texts * 3] + [(4, "six seven eight nine"), (4, "six seven eight nine")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(
+        [(None, texts[0]), (None, texts[1]), (4, "six seven eight nine")])
+
+
 def test_empty(spark, nothing):
     assert rows_of(simhash.groups(nothing)) == []
     assert rows_of(simhash.deduplicate(nothing)) == []

@@ -230,7 +230,10 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def classes_of(prints: DataFrame, key: str) -> DataFrame:
-    """fp and component_id, one row for each distinct fingerprint; a written table."""
+    """fp, label and component_id for each distinct fingerprint; a written table.
+
+    The label is the smallest fingerprint of the group, which it has whatever its keys.
+    """
     own = written(
         prints.groupBy("fp").agg(F.min(f"`{key}`").alias("least")), "simhash-classes"
     )
@@ -242,7 +245,7 @@ def classes_of(prints: DataFrame, key: str) -> DataFrame:
     smallest = written(
         named.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-smallest"
     )
-    return written(named.join(smallest, "label").select("fp", "component_id"), "simhash-components")
+    return written(named.join(smallest, "label").select("fp", "label", "component_id"), "simhash-components")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,11 +264,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Only rows of that key leave the join; if rows repeat it, one of them is taken.
     """
     prints = written(with_fingerprint(docs, key, text=text), "simhash-prints")
-    groups_ = classes_of(prints, key).withColumnRenamed("component_id", "_component")
+    groups_ = classes_of(prints, key).withColumnsRenamed({"component_id": "_component", "label": "_label"})
     chosen = prints.join(groups_, "fp").where(F.col(f"`{key}`").eqNullSafe(F.col("_component")))
     keeper = written(
-        chosen.groupBy("_component").agg(F.min("fp").alias("fp"), F.count("*").alias("_rows"))
-        .withColumnRenamed("fp", "_fp"),
+        chosen.groupBy("_label").agg(
+            F.min("fp").alias("_fp"), F.count("*").alias("_rows"), F.min("_component").alias("_component")
+        ),
         "simhash-keepers",
     )
     rows = packed(docs).withColumn("_fp", _fingerprints(F.col(f"_row.`{text}`")))
@@ -274,9 +278,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if keeper.where("_rows > 1").isEmpty():
         return single.select("_row.*")
     repeated = kept.where("_rows > 1").select(
-        "_row", "_component", F.spark_partition_id().alias("_part")
+        "_row", "_label", F.spark_partition_id().alias("_part")
     )
     # One row of each task first, then one of those; a key may be repeated very often.
-    for by in (["_component", "_part"], ["_component"]):
+    for by in (["_label", "_part"], ["_label"]):
         repeated = repeated.dropDuplicates(by)
     return single.union(repeated.select("_row")).select("_row.*")

@@ -1,6 +1,6 @@
 """Removal of passages that repeat across documents, by digests of their units.
 
-Lines are cut at sentence ends into units; a unit is normalised (letters and digits in
+Lines are cut at sentence ends into units of a few words or more; a unit is normalised (letters and digits in
 lower case, everything else one space) and digested. Digests are grouped over the whole
 corpus; the earliest occurrence, by key and then place, stays and every later one is a
 repeat. Repeats are removed where they stand in a run: neighbouring units of one
@@ -33,15 +33,33 @@ from tidemark.session import written
 
 MIN_WORDS = 25
 
+# Sentences shorter than this repeat by chance; they go with the next one.
+LONG_UNIT = 4
+
 # The end of a unit: a line break, or blanks after the end of a sentence.
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*(?:[.!?]+(?=\s)[^\S\n]*|[.!?]*(?:\n|\Z))")
 OTHER = re.compile(r"[\W_]+")
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
-    """start, end and normal form of each unit that has a letter or digit."""
-    found = ((m.start(), m.end(), OTHER.sub(" ", m[0].lower()).strip()) for m in UNIT.finditer(text))
-    return [u for u in found if u[2]]
+    """start, end and normal form of each unit that has a letter or digit.
+
+    A line's end closes a unit; a sentence's end does once the unit has ``LONG_UNIT``
+    words. A sentence that long closes a unit whatever came before, so units are in step
+    again soon after the start of a passage, wherever it stands.
+    """
+    out, start, parts, words = [], 0, [], 0
+    for m in UNIT.finditer(text):
+        normal = OTHER.sub(" ", m[0].lower()).strip()
+        if normal:
+            if not parts:
+                start = m.start()
+            parts.append(normal)
+            words += normal.count(" ") + 1
+        if parts and (words >= LONG_UNIT or m[0].endswith("\n") or m.end() == len(text)):
+            out.append((start, m.end(), " ".join(parts)))
+            parts, words = [], 0
+    return out
 
 
 def digest(normal: str) -> bytes:

@@ -237,7 +237,11 @@ def classes_of(prints: DataFrame, key: str) -> DataFrame:
     own = written(
         prints.groupBy("fp").agg(F.min(f"`{key}`").alias("least")), "simhash-classes"
     )
-    labels = components(links(own.select("fp")))
+    return named_classes(own, components(links(own.select("fp"))))
+
+
+def named_classes(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of classes (fp, least) and the labels of the linked ones; a written table."""
     named = own.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )
@@ -264,7 +268,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Only rows of that key leave the join; if rows repeat it, one of them is taken.
     """
     prints = written(with_fingerprint(docs, key, text=text), "simhash-prints")
-    groups_ = classes_of(prints, key).withColumnsRenamed({"component_id": "_component", "label": "_label"})
+    return keep_one(docs, prints, classes_of(prints, key), _fingerprints, key, text)
+
+
+def keep_one(docs: DataFrame, prints: DataFrame, classes: DataFrame, fingerprint_of, key: str, text: str) -> DataFrame:
+    """Of each group of ``classes`` the row with the smallest key; ``prints`` has key and fp."""
+    groups_ = classes.withColumnsRenamed({"component_id": "_component", "label": "_label"})
     chosen = prints.join(groups_, "fp").where(F.col(f"`{key}`").eqNullSafe(F.col("_component")))
     keeper = written(
         chosen.groupBy("_label").agg(
@@ -272,7 +281,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         ),
         "simhash-keepers",
     )
-    rows = packed(docs).withColumn("_fp", _fingerprints(F.col(f"_row.`{text}`")))
+    rows = packed(docs).withColumn("_fp", fingerprint_of(F.col(f"_row.`{text}`")))
     kept = rows.join(keeper, "_fp").where(F.col(f"_row.`{key}`").eqNullSafe(F.col("_component")))
     single = kept.where("_rows = 1").select("_row")
     if keeper.where("_rows > 1").isEmpty():

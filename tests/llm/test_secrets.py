@@ -103,3 +103,29 @@ def test_masked(spark, edges):
 def test_empty(nothing):
     assert rows_of(secrets.scan(nothing)) == []
     assert rows_of(secrets.redact(nothing)) == []
+
+
+def test_one_repeated_run_leaves_the_ordinary_text(spark):
+    """Pairs are counted over all runs, however often one of them occurs."""
+    rng = random.Random(3)
+    long = ["".join(rng.choice(["th", "er", "on", "in", "ed"]) for _ in range(10)) for _ in range(5)]
+    rows = [(i, "x" * 20) for i in range(9000)] + [(9000 + i, w) for i, w in enumerate(long)]
+    model = secrets.formats(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = Counter((a, b) for _, w in rows for a, b in zip("^" + w, w + "$"))
+    assert {(a, b): n for a, c in model.ordinary.pairs.items() for b, n in c.items()} == expected
+
+
+def test_formats_in_parts_of_runs_and_in_short_runs(spark):
+    rng = random.Random(6)
+    rows, clean, _ = corpus(rng, 800)
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    rows += [(5_000 + i, f"then password={hexa(12)} here") for i in range(200)]
+    parts = [(20_000 + i, f"see www.thereon.ed/inbely/{hexa(18)}/there.on") for i in range(20)]
+    short = [(30_000 + i, f"the inbely {hexa(12)} there") for i in range(20)]
+    beside = [(40_000 + i, f"on {'ab12' * 8}/{hexa(18)}") for i in range(20)]
+    found = {r.doc_id: r.spans for r in secrets.scan(
+        spark.createDataFrame(rows + clean + parts + short + beside, "doc_id long, text string")).collect()}
+    assert not any(found[k] for k, _ in clean)
+    assert sum("format:26:44" in found[k] for k, _ in parts) >= 18
+    assert sum("format:11:23" in found[k] for k, _ in short) >= 16
+    assert sum("format:36:54" in found[k] for k, _ in beside) >= 18

@@ -3,10 +3,14 @@
 Three patterns find assignments, access keys and long hexadecimal strings. Their values
 are labelled credentials: for each kind a prefix tree of a bounded sample of distinct
 values is folded into a probabilistic automaton by merging states whose outcomes are
-statistically compatible (Hoeffding bounds). Every other long run of credential
-characters in every text is then scored by the likelihood of each format against that
-of ordinary runs, and becomes a span of kind ``format`` if it is far more likely as a
-credential and as likely as the labelled ones are.
+statistically compatible (Hoeffding bounds). Every other run of credential characters
+in every text is then scored by the likelihood of each format against that of ordinary
+runs, and becomes a span of kind ``format`` if it is far more likely as a credential and
+as likely as the labelled ones are; if the whole run is not, its parts between ``=``,
+``/`` and ``.`` are scored. What is shorter than all labelled values of a kind is not
+scored against it, and a short value needs as much evidence in all as one of
+``CERTAIN`` characters. Ordinary text is a table of character pairs, counted over every
+such run of the corpus.
 
 The sample takes the ``SAMPLE`` distinct values of a kind with the smallest hashes, as
 large as the corpus may be; a kind with fewer than ``LEAST`` values gets no automaton.
@@ -25,6 +29,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,25 +46,31 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-# Access keys and hexadecimal strings lie inside such a run.
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 LEAST_VALUE = 6
+# Access keys and hexadecimal strings lie inside such a run, of 20 characters or more.
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_VALUE},}}")
+PART = re.compile(rf"[^=/.]{{{LEAST_VALUE},}}")
 
 SAMPLE = 400
-ORDINARY = 4000
 LEAST = 20
 
 # Confidence of the merge test, and how clearly a format must beat ordinary text, in
-# nats a character.
+# nats a character of a value that has CERTAIN characters or more.
 ALPHA = 0.05
 MARGIN = 0.7
+CERTAIN = 16
 ALPHABET = 66
+# Verdicts a worker remembers.
+SEEN = 100_000
 
 Span = tuple[int, int, int]  # start, kind, end
 
 
 def base_spans(text: str) -> tuple[list[Span], list[str], list[tuple[int, int]]]:
-    """Spans of the patterns, the credential of each, and the other runs."""
+    """Spans of the patterns, the credential of each, and the other runs.
+
+    Of a run that holds a span or lies in one, the parts clear of spans are runs.
+    """
     spans, values, others = [], [], []
     if ":" in text or "=" in text:
         for m in ASSIGN.finditer(text):
@@ -68,14 +79,18 @@ def base_spans(text: str) -> tuple[list[Span], list[str], list[tuple[int, int]]]
                 values.append(m[2])
     assigned = sorted((s, e) for s, _, e in spans)
     for run in RUN.finditer(text):
-        body, at, hit = run[0], run.start(), False
-        for kind, pattern in ((1, ACCESS), (2, HEX)):
+        body, at, end = run[0], run.start(), run.end()
+        taken = [(s, e) for s, e in assigned if s < end and at < e] if assigned else []
+        for kind, pattern in ((1, ACCESS), (2, HEX)) if end - at >= 20 else ():
             for m in pattern.finditer(body):
                 spans.append((at + m.start(), kind, at + m.end()))
                 values.append(m[0])
-                hit = True
-        if not hit and not any(s < run.end() and at < e for s, e in assigned):
-            others.append((at, run.end()))
+                taken.append((at + m.start(), at + m.end()))
+        if taken:
+            parts = [(at + m.start(), at + m.end()) for m in PART.finditer(body)]
+            others += [(a, b) for a, b in parts if not any(s < b and a < e for s, e in taken)]
+        else:
+            others.append((at, end))
     order = sorted(range(len(spans)), key=spans.__getitem__)
     return [spans[i] for i in order], [values[i] for i in order], others
 
@@ -96,6 +111,7 @@ class Automaton:
     counts: list[dict[str, int]] = field(default_factory=lambda: [{}])
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     floor: float = -math.inf
+    shortest: int = 0
 
     def add(self, value: str) -> None:
         state = 0
@@ -185,6 +201,7 @@ def learned(values: list[str]) -> Automaton:
     model.merge()
     scores = sorted(model.likelihood(v) for v in values)
     model.floor = scores[len(scores) // 50] - 0.1
+    model.shortest = min(map(len, values))
     return model
 
 
@@ -195,99 +212,122 @@ class Ordinary:
     pairs: dict[str, dict[str, int]]
 
     def __post_init__(self) -> None:
-        self.sums = {a: sum(c.values()) for a, c in self.pairs.items()}
-
-    @classmethod
-    def of(cls, runs: list[str]) -> Ordinary:
-        pairs: dict[str, Counter] = defaultdict(Counter)
-        for run in runs:
-            for a, b in zip("^" + run, run + "$"):
-                pairs[a][b] += 1
-        return cls(dict(pairs))
+        sums = {a: sum(c.values()) + 0.5 * ALPHABET for a, c in self.pairs.items()}
+        self.logs = {a: {b: math.log((n + 0.5) / sums[a]) for b, n in c.items()} for a, c in self.pairs.items()}
+        self.unseen = {a: math.log(0.5 / m) for a, m in sums.items()}
 
     def likelihood(self, value: str) -> float:
-        total = 0.0
+        total, never, none = 0.0, -math.log(ALPHABET), {}
         for a, b in zip("^" + value, value + "$"):
-            n, m = self.pairs.get(a, {}).get(b, 0), self.sums.get(a, 0)
-            total += math.log((n + 0.5) / (m + 0.5 * ALPHABET))
+            found = self.logs.get(a, none).get(b)
+            total += self.unseen.get(a, never) if found is None else found
         return total / (len(value) + 1)
 
 
+def pair_counts(runs: list[str]) -> list[tuple[str, int]]:
+    """Two characters and their number, with ``^`` before and ``$`` behind each run."""
+    if not runs:
+        return []
+    text = np.frombuffer(("^" + "$^".join(runs) + "$").encode("ascii"), np.uint8).astype(np.int32)
+    codes = np.bincount(text[:-1] * 128 + text[1:], minlength=1 << 14)
+    codes[ord("$") * 128 + ord("^")] = 0
+    return [(chr(c // 128) + chr(c % 128), int(codes[c])) for c in np.flatnonzero(codes)]
+
+
 @dataclass
 class Formats:
     automata: list[Automaton]
     ordinary: Ordinary
+    seen: dict[str, bool] = field(default_factory=dict, repr=False)
 
     def secret(self, value: str) -> bool:
-        if not self.automata:
+        if value not in self.seen:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            self.seen[value] = self._secret(value)
+        return self.seen[value]
+
+    def _secret(self, value: str) -> bool:
+        able = [a for a in self.automata if len(value) >= a.shortest]
+        if not able:
             return False
         plain = self.ordinary.likelihood(value)
-        return any(
-            (own := a.likelihood(value)) >= a.floor and own - plain >= MARGIN for a in self.automata
+        least = MARGIN * max(1, (CERTAIN + 1) / (len(value) + 1))
+        # No likelihood is above zero, so a run that is ordinary enough needs no automaton.
+        return -plain >= least and any(
+            (own := a.likelihood(value)) >= a.floor and own - plain >= least for a in able
         )
 
+    def found(self, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Runs that are secrets, or the parts that are of those that are not."""
+        spans = []
+        for s, e in runs:
+            if self.secret(text[s:e]):
+                spans.append((s, e))
+                continue
+            parts = [(s + m.start(), s + m.end()) for m in PART.finditer(text[s:e])]
+            if parts != [(s, e)]:
+                spans += [(a, b) for a, b in parts if self.secret(text[a:b])]
+        return spans
 
-# --- on tables ------------------------------------------------------------------------
 
-_SCANNED = (
-    "spans array<struct<start:int,kind:int,end:int>>, credentials array<string>, "
-    "runs array<struct<start:int,end:int,value:string>>"
-)
+# --- on tables ------------------------------------------------------------------------
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_key, spans, credentials and the other runs of each row."""
-    narrow = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    kind = narrow.schema["_key"].dataType.simpleString()
+def counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, value and n: labelled values of kinds 0 to 2, character pairs of other runs as 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        other = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
         for batch in batches:
-            found = [(t, *base_spans(t)) for t in ((x.as_py() or "") for x in batch.column(1))]
+            labelled, runs = Counter(), []
+            for t in ((x.as_py() or "") for x in batch.column(0)):
+                spans, values, others = base_spans(t)
+                labelled.update((k, v) for (_, k, _), v in zip(spans, values))
+                runs += [t[s:e] for s, e in others]
+            rows = [(k, v, n) for (k, v), n in labelled.items()] + [(3, p, n) for p, n in pair_counts(runs)]
+            kinds, values, numbers = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([[dict(start=s, kind=k, end=e) for s, k, e in f[1]] for f in found], span),
-                    pa.array([f[2] for f in found], pa.list_(pa.string())),
-                    pa.array([[dict(start=s, end=e, value=f[0][s:e]) for s, e in f[3]] for f in found], other),
-                ],
-                names=["_key", "spans", "credentials", "runs"],
+                [pa.array(kinds, pa.int32()), pa.array(values, pa.string()), pa.array(numbers, pa.int64())],
+                names=["kind", "value", "n"],
             )
 
-    return narrow.mapInArrow(run, f"_key {kind}, {_SCANNED}")
+    found = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(run, "kind int, value string, n long")
+    return found.groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
-def formats(found: DataFrame) -> Formats:
-    """Learned on the driver from bounded samples of distinct values by hash."""
-    labelled = found.where("size(spans) > 0").select(
-        F.explode(F.arrays_zip(F.col("spans.kind").alias("kind"), F.col("credentials").alias("value"))).alias("x")
-    ).select("x.*").distinct()
-    labelled = written(labelled, "secret-labels")
+def formats(docs: DataFrame, text: str = "text") -> Formats:
+    """Learned on the driver, from bounded samples of distinct labelled values by hash
+    and from the pair counts of all other runs, at most 70 times 70."""
+    found = written(counts(docs, text), "secret-labels")
     automata = []
     for kind in range(3):
         sample = (
-            labelled.where(F.col("kind") == kind)
+            found.where(F.col("kind") == kind)
             .orderBy(F.xxhash64("value"), "value").limit(SAMPLE).select("value").collect()
         )
         if len(sample) >= LEAST:
             automata.append(learned(sorted(r[0] for r in sample)))
-    runs = found.select(F.explode("runs.value").alias("value")).orderBy(F.xxhash64("value"), "value").limit(ORDINARY)
-    return Formats(automata, Ordinary.of([r[0] for r in runs.collect()]))
+    pairs: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in found.where("kind = 3").select("value", "n").collect():
+        pairs[r.value[0]][r.value[1]] = r.n
+    return Formats(automata, Ordinary(dict(pairs)))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_sha256 and spans of each row; texts are read once."""
-    found = written(candidates(docs, key, text), "secret-candidates")
-    model = formats(found)
-    kind = found.schema["_key"].dataType.simpleString()
+    """key, n_assign, n_access, n_hex, base_sha256 and spans of each row.
+
+    Texts are read twice: to learn the formats, and to score.
+    """
+    model = formats(docs, text)
+    narrow = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    kind = narrow.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for spans, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                base = [(s["start"], s["kind"], s["end"]) for s in spans]
-                more = [(r["start"], 3, r["end"]) for r in runs if model.secret(r["value"])]
+            for t in ((x.as_py() or "") for x in batch.column(1)):
+                base, _, runs = base_spans(t)
+                more = [(s, 3, e) for s, e in model.found(t, runs)]
                 kinds = Counter(k for _, k, _ in base)
                 out.append((
                     kinds[0], kinds[1], kinds[2],
@@ -300,7 +340,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 names=["_key", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    scored = found.select("_key", "spans", "runs").mapInArrow(
+    scored = narrow.mapInArrow(
         run, f"_key {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
     return scored.withColumnRenamed("_key", key)
@@ -312,7 +352,7 @@ MASK = "[SECRET]"
 def masked(text: str, model: Formats) -> str:
     """The text with every span, overlapping ones as one, replaced by ``MASK``."""
     base, _, runs = base_spans(text)
-    spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e in runs if model.secret(text[s:e])])
+    spans = sorted([(s, e) for s, _, e in base] + model.found(text, runs))
     out, at = [], 0
     for s, e in spans:
         if s >= at:
@@ -326,9 +366,7 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFr
 
     Null texts stay null. Texts are read twice: to learn the formats, and to mask.
     """
-    found = written(candidates(docs.select(F.lit(0).alias("_k"), F.col(f"`{text}`").alias("_t")), "_k", "_t"),
-                    "secret-candidates")
-    model = formats(found)
+    model = formats(docs, text)
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:

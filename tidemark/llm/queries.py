@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_text, language_model, lines, mixing, packing, quality, secrets, simhash, topk, warc
+from tidemark.llm import (
+    filter_audit, html_text, language_model, line_dedup, lines, mixing, packing, quality, secrets, simhash, topk, warc,
+)
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +55,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_groups": op2_simhash_groups,
@@ -64,10 +74,14 @@ QUERIES: dict[str, Query] = {
     "op8_warc_archive": op8_warc_archive,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_top_k": op10_top_k,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.sql(),
     "op6_quality_rules": quality.sql(),
     "op10_top_k": topk.sql(),
+    "op12_line_dedup": line_dedup.sql(),
+    "op13_filter_audit": filter_audit.sql(),
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    filter_audit, html_text, language_model, line_dedup, lines, mixing, packing, quality, secrets, simhash, topk, warc,
+    filter_audit, html_text, language_model, line_dedup, lines, mixing, packing, phrases, quality, secrets, simhash, topk,
+    warc,
 )
 from tidemark.llm.common import table
 
@@ -55,6 +56,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc_archive": op8_warc_archive,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_top_k": op10_top_k,
+    "op11_phrases": op11_phrases,
     "op12_line_dedup": op12_line_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -82,6 +88,7 @@ ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.sql(),
     "op6_quality_rules": quality.sql(),
     "op10_top_k": topk.sql(),
+    "op11_phrases": phrases.sql(),
     "op12_line_dedup": line_dedup.sql(),
     "op13_filter_audit": filter_audit.sql(),
 }

@@ -35,8 +35,9 @@ MIN_DOCS = 3
 BLANK = " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-# A hash of more lines than this leaves the stream, if it is among the frequent ones.
-HOT_LINES = 1_000_000
+# A hash leaves the stream if it is frequent and has more than one in HOT_SHARE of all lines
+# (or HOT_MOST lines, whatever their number).
+HOT_SHARE, HOT_MOST = 1000, 1_000_000
 # Sketches of frequent hashes: groups, hashes taken from each, and hashes tracked by each.
 HOT_GROUPS, HOT_EACH, HOT_TRACKED = 16, 64, 1024
 HOT_LIMIT = HOT_GROUPS * HOT_EACH
@@ -116,9 +117,11 @@ def _words(dropped: DataFrame) -> DataFrame:
     return of_row.select("r1", "r2", "n_dropped", filled.alias("keep"))
 
 
-def _removed(docs: DataFrame, key: str, text: str, min_chars: int, min_docs: int, hot_lines: int) -> DataFrame:
+def _removed(docs: DataFrame, key: str, text: str, min_chars: int, min_docs: int, hot_lines: int | None) -> DataFrame:
     """One row for each key and text that loses a line."""
     lines = written(line_hashes(docs, key, text, min_chars), "lines-hashes")
+    if hot_lines is None:
+        hot_lines = min(max(lines.count() // HOT_SHARE, HOT_SHARE), HOT_MOST)
     hot = frequent(lines, hot_lines)
     dropped = _streamed(lines.where(~F.col("h1").isin(hot)) if hot else lines, min_docs)
     if hot:
@@ -132,7 +135,7 @@ def _with_bitmap(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
-            min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+            min_docs: int = MIN_DOCS, hot_lines: int | None = None) -> DataFrame:
     """key, n_lines, n_dropped and keep of every row; lines past the end of ``keep`` stay."""
     found = _removed(docs, key, text, min_chars, min_docs, hot_lines)
     own, body = F.col(f"`{key}`"), F.col(f"`{text}`")
@@ -153,7 +156,7 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
-          min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+          min_docs: int = MIN_DOCS, hot_lines: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, and n_dropped; texts that lose nothing unchanged."""
     found = _removed(docs, key, text, min_chars, min_docs, hot_lines)
     own, body = F.col(f"_row.`{key}`"), F.col(f"_row.`{text}`")
@@ -164,7 +167,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: i
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
-            min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+            min_docs: int = MIN_DOCS, hot_lines: int | None = None) -> DataFrame:
     """key, n_lines, n_dropped and kept_sha256, the digest of the text that is left."""
     found = _removed(docs, key, text, min_chars, min_docs, hot_lines)
     own, body = F.col(f"`{key}`"), F.col(f"`{text}`")

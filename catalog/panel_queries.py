@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import query, rounded
+from catalog.registry import ORACLES, query, rounded
 from catalog.tables import (
     FEATURE_SQL,
     MONTHS,
@@ -17,7 +19,7 @@ from catalog.tables import (
     to_date_table,
 )
 from tidemark.operators import baselines, features, metrics, ordered, ranks, shrinkage
-from tidemark.plans import backtest
+from tidemark.plans import backtest, predictors
 from tidemark.spec import PanelSpec
 
 SPEC = PanelSpec()
@@ -595,3 +597,81 @@ def _group_history_mean(history: DataFrame, target: DataFrame) -> DataFrame:
 def custom_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = feature_frame(spark, sf_dir)
     return rounded(backtest.walk_forward(frame, _group_history_mean, check=False))
+
+
+def _group_mean() -> predictors.AggregatePredictor:
+    return predictors.AggregatePredictor(
+        keys=["position"],
+        partial={"points": F.sum("total_points"), "known": F.count("total_points")},
+        merge={"points": F.sum("points"), "known": F.sum("known")},
+        prediction=F.col("points") / F.col("known"),
+    )
+
+
+@query(ORACLES["custom_predictor"])
+def aggregate_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``custom_predictor`` from aggregates of dyadic blocks of periods."""
+    return rounded(backtest.walk_forward(feature_table(spark, sf_dir), _group_mean(), check=False))
+
+
+MEDIAN_BIN = 8
+
+
+class GroupMedian(predictors.MergeablePredictor):
+    """Median outcome of the group so far, to the middle of a bin of ``MEDIAN_BIN`` points.
+
+    The state is a histogram for each group, as long as the range of the outcome is wide.
+    """
+
+    history = ("position", "total_points")
+    target = ("position",)
+
+    def zero(self):
+        return Counter()
+
+    def add(self, state, rows):
+        known = rows.dropna(subset=["total_points"])
+        bins = (known["total_points"].astype(float) // MEDIAN_BIN).astype(int)
+        state.update(zip(known["position"].map(lambda p: p if isinstance(p, str) else None), bins))
+        return state
+
+    def merge(self, left, right):
+        left.update(right)
+        return left
+
+    def predict(self, state, target):
+        bins = defaultdict(list)
+        for (position, at), n in sorted(state.items(), key=lambda x: x[0][1]):
+            bins[position].append((at, n))
+        middle = {}
+        for position, counts in bins.items():
+            seen, half = 0, (sum(n for _, n in counts) + 1) // 2
+            for at, n in counts:
+                seen += n
+                if seen >= half:
+                    middle[position] = at * MEDIAN_BIN + MEDIAN_BIN / 2
+                    break
+        return [middle.get(p if isinstance(p, str) else None) for p in target["position"]]
+
+
+@query(
+    f"""WITH {FEATURE_SQL}, cutoffs AS (SELECT DISTINCT season, round AS cutoff FROM features WHERE round >= 6),
+    bins AS (
+      SELECT c.season, c.cutoff, f.position, CAST(floor(f.total_points / {MEDIAN_BIN}) AS BIGINT) AS b, count(*) AS n
+      FROM cutoffs c JOIN features f ON f.season = c.season AND f.round < c.cutoff
+      WHERE f.total_points IS NOT NULL GROUP BY ALL),
+    running AS (
+      SELECT *, sum(n) OVER (PARTITION BY season, cutoff, position ORDER BY b) AS seen,
+             sum(n) OVER (PARTITION BY season, cutoff, position) AS total FROM bins),
+    medians AS (
+      SELECT season, cutoff, position, min(b) * {MEDIAN_BIN} + {MEDIAN_BIN / 2} AS prediction
+      FROM running WHERE seen >= (total + 1) // 2 GROUP BY ALL)
+    SELECT f.season, f.round, f.code, f.name, f.position, CAST(m.prediction AS DOUBLE) AS prediction,
+           round(f.total_points, 6) AS actual, round(f.minutes, 6) AS minutes
+    FROM features f LEFT JOIN medians m ON m.season = f.season AND m.cutoff = f.round
+      AND m.position IS NOT DISTINCT FROM f.position
+    WHERE f.round >= 6"""
+)
+def mergeable_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictor in Python: histograms from every task, merged over blocks of periods."""
+    return rounded(backtest.walk_forward(feature_table(spark, sf_dir), GroupMedian(), check=False))

@@ -2,7 +2,9 @@
 
 For a period k a predictor may use rows of the same season before k. Rules over
 lagged columns meet that by construction, so they are applied to all rows at
-once. A predictor that needs the history gets it set-based: one history table in
+once. A predictor that learns from the history is best given as one of
+``plans.predictors``, whose states merge: each cutoff then costs the logarithm of the
+periods. A predictor that cannot be, gets the history set-based: one history table in
 which every row appears once per later cutoff, keyed by ``cutoff``, so that its
 own grouping handles all cutoffs in one job and pre-aggregates before shuffling.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.operators import baselines, metrics, shrinkage
+from tidemark.plans import predictors
 from tidemark.session import counted, written
 from tidemark.spec import PanelSpec
 
@@ -67,19 +70,25 @@ def history_by_cutoff(frame: DataFrame, spec: PanelSpec, first_period: int = FIR
 
 def walk_forward(
     frame: DataFrame,
-    predictor: str | Predictor,
+    predictor: str | Predictor | predictors.MergeablePredictor | predictors.AggregatePredictor,
     spec: PanelSpec | None = None,
     *,
     first_period: int = FIRST,
     check: bool = True,
 ) -> DataFrame:
-    """Results of one rule (by name) or of a predictor function."""
+    """Results of one rule (by name), of a predictor with states, or of a function of DataFrames."""
     spec = spec or PanelSpec()
     if check:
         require_targets(frame, spec, first_period)
     target = frame.where(F.col(spec.period) >= first_period)
     if isinstance(predictor, str):
         return as_results(baselines.predict(target, predictor, spec), spec)
+    if isinstance(predictor, predictors.AggregatePredictor):
+        return as_results(predictors.predict_aggregates(frame, predictor, spec, first_period), spec)
+    if isinstance(predictor, predictors.MergeablePredictor):
+        roles = [*spec.period_keys, spec.entity, spec.name, spec.group, spec.outcome, spec.exposure]
+        keep = [c for c in dict.fromkeys(roles) if c in frame.columns]
+        return as_results(predictors.predict_mergeable(frame, predictor, spec, first_period, keep), spec)
     history = history_by_cutoff(frame, spec, first_period)
     predicted = predictor(history, target.withColumn("cutoff", F.col(spec.period)))
     missing = {spec.season, spec.period, spec.entity, "prediction"} - set(predicted.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.classes import FOOTBALL, ColumnClasses
+from tidemark.sources import records
 
 UTF8, LATIN1 = "utf-8", "latin-1"
 _SPARK_CHARSET = {UTF8: "UTF-8", LATIN1: "ISO-8859-1"}
@@ -109,21 +110,20 @@ def detect_formats(spark: SparkSession, root: str, seasons: Sequence[str], file:
     """season, encoding and multi_line, from one pass over the lines of its files.
 
     The encoding is UTF-8 if every line is valid, else latin-1. A field with a line
-    break in it leaves a line with an odd number of quotes. Lines keep their bytes as
+    break in it leaves a line on which a quote stays open. Lines keep their bytes as
     stored and are tested on split files; no file is ever held whole.
     """
     lines = spark.read.text([csv_path(root, s, file) for s in seasons])
     season, _ = _located(F.col("_metadata.file_path"), [file])
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     return (
         lines.select(
             season.alias("season"), F.is_valid_utf8("value").alias("valid"),
-            (quotes % 2 == 1).alias("odd"),
+            records.ends_open(F.col("value")).alias("open"),
         )
         .groupBy("season")
         .agg(
             F.when(F.bool_and("valid"), UTF8).otherwise(LATIN1).alias("encoding"),
-            F.bool_or("odd").alias("multi_line"),
+            F.bool_or("open").alias("multi_line"),
         )
     )
 
@@ -134,20 +134,29 @@ def detect_encodings(spark: SparkSession, root: str, seasons: Sequence[str], fil
 
 
 def read_csv(
-    spark: SparkSession, path: str, encoding: str = UTF8, *, multi_line: bool = False
+    spark: SparkSession, path: str, encoding: str = UTF8, *, multi_line: bool = False,
+    place: str | None = None,
 ) -> DataFrame:
     """All strings, header names trimmed; extra fields dropped, short rows padded.
 
-    With ``multi_line`` quoted fields may hold line breaks; such files are read whole,
-    a task each, so it is for the seasons that need it.
+    With ``multi_line`` quoted fields may hold line breaks: records are then put
+    together from the lines of split files. ``place`` adds a column that orders the rows
+    of a file.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("encoding", _SPARK_CHARSET[encoding])
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    charset = _SPARK_CHARSET[encoding]
+    if multi_line:
+        raw = records.read_csv(spark, path, charset, place or "_place")
+        raw = raw if place else raw.drop("_place")
+    else:
+        raw = (
+            spark.read.option("header", True)
+            .option("encoding", charset)
+            .option("escape", '"')
+            .csv(path)
+        )
+        if place:
+            at = ("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+            raw = raw.select("*", F.struct(*at).alias(place))
     return raw.toDF(*[c.strip() for c in raw.columns])
 
 
@@ -181,27 +190,21 @@ def read_bridge(
     for season in seasons:
         encoding = (encodings or {}).get(season, UTF8)
         path = csv_path(root, season, file)
-        frame = read_csv(spark, path, encoding, multi_line=season in multi_line)
+        frame = read_csv(spark, path, encoding, multi_line=season in multi_line, place="_at")
         if {"id", "code"} <= set(frame.columns):
-            at = F.struct(
-                F.col("_metadata.file_path"),
-                F.col("_metadata.file_block_start"),
-                F.monotonically_increasing_id(),
-            )
+            # The later of two rows by its place; a season's places are of one shape.
             parts.append(
-                frame.select(F.lit(season).alias("season"), F.col("id").alias("element"), "code",
-                             at.alias("_at"))
+                frame.select("id", "code", "_at").dropna(subset=["id", "code"])
+                .groupBy(F.col("id").alias("element"))
+                .agg(F.max_by("code", "_at").alias("code"))
+                .select(F.lit(season).alias("season"), "element", "code")
             )
     if not parts:
         return spark.createDataFrame([], "season string, element string, code string")
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return (
-        rows.dropna(subset=["element", "code"])
-        .groupBy("season", "element")
-        .agg(F.max_by("code", "_at").alias("code"))
-    )
+    return rows
 
 
 def season_notes(

@@ -44,6 +44,8 @@ MIN_COUNT = 30
 SCALE = 2_000_000
 COVERED_PERCENT = 80
 FIRST = 2000
+# Shares that the candidates of a language are dealt to before they are ranked.
+SHARES = 64
 
 # Bytes of chunks in a pack, n-grams in a bucket, and bytes parsed at once.
 PACK_BYTES = 2 << 20
@@ -388,8 +390,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     counted = counts(docs, text, lang, min_count)
     inside = F.col("longest").cast("decimal(19,0)") * 100 >= F.col("a").cast("decimal(19,0)") * COVERED_PERCENT
     alone = scored(counted, min_count).join(covered(counted), ["lang", "phrase"], "left").where(~F.coalesce(inside, F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = alone.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # The first of each share of a language, then the first of those: no task meets more of a
+    # language than ``SHARES`` times as many candidates as are asked for, or one share of all.
+    alone = alone.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    best = alone
+    for keys in (["lang", "_share"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        best = best.withColumn("rank", place).where(F.col("rank") <= first)
     totals = counted.where("words = 0").select("lang", "n")
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -800,46 +800,31 @@ def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LOGGED_PERIODS = 3
-
-
 def _logged_periods(spark: SparkSession, sf_dir: str) -> str:
-    """Log all rules for the latest periods, one write each; returns the log's root."""
-    frame = feature_table(spark, sf_dir)
-    periods = panel(spark, sf_dir).select("season", "round").distinct()
-    latest = periods.orderBy(F.desc("season"), F.desc("round")).limit(LOGGED_PERIODS).collect()
-    root, rows = shared_folder(spark, "log"), supplier_bound(spark, sf_dir)
-    for at in latest:
-        target = frame.where(
-            (F.col("season") == at.season) & (F.col("round") == at["round"])
-        ).withColumn("code", F.col("code").cast("string"))
-        prediction_log.write(
-            spark,
-            root,
-            season=str(at.season),
-            gameweek=int(at["round"]),
-            deadline="2999-01-01T00:00:00Z",
-            capture="suppliers",
-            predictions={
-                rule: baselines.predict(target, rule, group_rows=rows) for rule in baselines.RULES
-            },
-            group_rows=rows,
-        )
+    """Log all rules for all periods in one commit; returns the log's root."""
+    rows = supplier_bound(spark, sf_dir)
+    predicted = baselines.predict_all(feature_table(spark, sf_dir), group_rows=rows)
+    root = shared_folder(spark, "log")
+    prediction_log.write_all(
+        spark,
+        root,
+        predicted.withColumns({"model": F.col("baseline"), "gameweek": F.col("round"), "code": F.col("code").cast("string")}),
+        capture="suppliers",
+        group_rows=rows,
+    )
     return root
 
 
 _EACH_RULE = " UNION ALL ".join(
     f"""SELECT '{rule}' AS model, season, round, CAST(code AS VARCHAR) AS id, name, position, value,
-      CAST({expression} AS DOUBLE) AS prediction FROM crowd JOIN latest USING (season, round)"""
+      CAST({expression} AS DOUBLE) AS prediction FROM crowd"""
     for rule, expression in RULE_SQL.items()
 )
-_LATEST = f"""{FEATURE_SQL}{CROWD_SQL}, latest AS (
-      SELECT DISTINCT season, round FROM features ORDER BY season DESC, round DESC
-      LIMIT {LOGGED_PERIODS}), logged AS ({_EACH_RULE})"""
+_LOGGED = f"{FEATURE_SQL}{CROWD_SQL}, logged AS ({_EACH_RULE})"
 
 
 @query(
-    f"""WITH {_LATEST}
+    f"""WITH {_LOGGED}
     SELECT CAST(season AS VARCHAR) AS season, format('gw{{:02d}}', CAST(round AS INTEGER))
       AS gameweek, model, id AS code, name, position, value, round(prediction, 6) AS prediction,
       CAST(row_number() OVER (PARTITION BY season, round, model ORDER BY prediction DESC NULLS LAST, id) AS INTEGER) AS rank
@@ -851,7 +836,7 @@ def prediction_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LATEST}
+    f"""WITH {_LOGGED}
     SELECT CAST(season AS VARCHAR) AS season, format('gw{{:02d}}', CAST(round AS INTEGER))
       AS gameweek, model, count(*) AS rows, 'suppliers' AS capture, 1 AS models_of_first_write
     FROM logged GROUP BY ALL"""
@@ -868,7 +853,7 @@ def prediction_log_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LATEST} SELECT DISTINCT CAST(season AS VARCHAR) AS season,
+    f"""WITH {_LOGGED} SELECT DISTINCT CAST(season AS VARCHAR) AS season,
       format('gw{{:02d}}', CAST(round AS INTEGER)) AS gameweek FROM logged"""
 )
 def logged_periods(spark: SparkSession, sf_dir: str) -> DataFrame:

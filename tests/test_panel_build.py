@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.classes import UnknownColumnError
 from tidemark.operators import combine
 from tidemark.plans import panel_build
-from tidemark.sources import seasons
+from tidemark.sources import digests, seasons
 
 HEAD = "name,element,round,value,minutes,total_points"
 
@@ -112,7 +112,25 @@ def test_inventory_and_digests(spark, tmp_path):
     counts = seasons.inventory_counts(found).first()
     assert (counts.ok, counts.missing) == (2, 6)
     assert found.where("file = 'players_raw.csv' and season = '2019-20'").first().bytes == 8
-    digests = seasons.file_digests(spark, str(tmp_path), "players_raw.csv").collect()
-    assert [len(d.sha256) for d in digests] == [64]
+    found = digests.file_digests(spark, str(tmp_path), "players_raw.csv").collect()
+    assert [len(d.digest) for d in found] == [64]
     notes = seasons.season_notes(spark)
     assert notes.where(F.col("season") == "2019-20").first().note.startswith("COVID")
+
+
+def test_files_follow_the_bytes(spark, tmp_path):
+    """Forty tasks with rows of every season; one season has most of them."""
+    rows = spark.range(120_000, numPartitions=40).select(
+        F.when(F.col("id") % 10 < 7, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("season"),
+        F.sha2(F.col("id").cast("string"), 256).alias("name"), (F.col("id") % 90).alias("minutes"))
+    about = spark.range(1)
+    panel_build.write(rows, about, str(tmp_path / "few"))
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "few" / "panel").glob("season=*")}
+    assert files == {"season=big": 1, "season=s7": 1, "season=s8": 1, "season=s9": 1}
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    panel_build.write(rows, about, str(tmp_path / "many"), file_bytes=600_000)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "many" / "panel").glob("season=*")}
+    assert files["season=big"] >= 8 and sum(files.values()) <= 40
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    assert panel_build.read(spark, str(tmp_path / "many")).groupBy("season").count().count() == 4
+    assert panel_build.read(spark, str(tmp_path / "many")).count() == 120_000

@@ -4,58 +4,53 @@ Underscores become spaces, a trailing number goes, accents go (compatibility
 decomposition without combining marks), letters turn lower case, letters that do
 not decompose are spelled out, and runs of white space become one space.
 
-Text up to U+017F (Western and Central European letters) is folded by built-in
-functions. Text with anything beyond goes through an Arrow batch function, so that
-every text gets the exact decomposition.
+All of it runs in the JVM. Decomposition is that of the ICU library, which Spark brings
+along for its collations; a combining mark is a character with a combining class, listed
+here as ranges from Python's own tables.
 """
 
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.fixed_values import UNDECOMPOSED_LETTERS
 
-# The last letter of Latin Extended-A; one range keeps the test for others cheap.
-_LAST = 0x017F
 _SPACE = r"[\s\x1c-\x1f]"
 
 
-def strip_marks(text: str) -> str:
-    """Compatibility decomposition without its combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
 @functools.cache
-def _latin_folds() -> tuple[dict[str, str], dict[str, str]]:
-    """What letters up to ``_LAST`` fold to: one character each, and several."""
-    folds = {c: strip_marks(c) for c in map(chr, range(_LAST + 1))}
-    changed = {c: to for c, to in folds.items() if to != c}
-    single = {c: to for c, to in changed.items() if len(to) == 1}
-    return single, {c: to for c, to in changed.items() if c not in single}
-
-
-@F.pandas_udf(T.StringType())
-def _strip_marks_batch(names: pd.Series) -> pd.Series:
-    return names.map(strip_marks, na_action="ignore")
+def _marks() -> str:
+    """A pattern of one or more combining marks."""
+    ranges: list[list[int]] = []
+    for point in range(sys.maxunicode + 1):
+        if unicodedata.combining(chr(point)):
+            if ranges and ranges[-1][1] == point - 1:
+                ranges[-1][1] = point
+            else:
+                ranges.append([point, point])
+    listed = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    # Ordinary letters lie below the first mark and are settled by one comparison.
+    return f"[\\x{{{ranges[0][0]:X}}}-\\x{{{ranges[-1][1]:X}}}&&[{listed}]]+"
+
+
+def strip_marks(text: Column) -> Column:
+    """Compatibility decomposition without its combining marks."""
+    decomposed = F.java_method(
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    # Most texts have nothing to decompose.
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(text.isNull() | plain, text).otherwise(F.regexp_replace(decomposed, _marks(), ""))
 
 
 def fold_name(name: Column) -> Column:
-    single, several = _latin_folds()
     spaced = F.replace(name, F.lit("_"), F.lit(" "))
     bare = F.regexp_replace(spaced, rf"(?U){_SPACE}+\d+(?=\n?\z)", "")
-    foreign = bare.rlike(rf"[^\x00-\x{{{_LAST:X}}}]")
-    latin = F.translate(bare, "".join(single), "".join(single.values()))
-    for letter, spelling in several.items():
-        latin = F.replace(latin, F.lit(letter), F.lit(spelling))
-    # Rows the built-ins can fold cross to Python as nulls.
-    exact = _strip_marks_batch(F.when(foreign, bare))
-    spelled = F.lower(F.when(foreign, exact).otherwise(latin))
+    spelled = F.lower(strip_marks(bare))
     for letter, spelling in UNDECOMPOSED_LETTERS.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(spelling))
     return F.trim(F.regexp_replace(spelled, rf"(?U){_SPACE}+", " "))

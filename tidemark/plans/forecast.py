@@ -63,15 +63,14 @@ def forecast(
     period_rows: int | None = None,
 ) -> dict[str, object]:
     """Predict and log. Returns the run's context, one small row."""
-    bootstrap = captures.read_bootstrap(spark, raw_root)
-    summaries = captures.read_summaries(spark, raw_root)
     if capture is None:
-        newest = captures.newest_full_run(summaries).first()
+        # From the names of files: the documents of other runs stay closed.
+        newest = captures.newest_full_run(captures.summary_files(spark, raw_root)).first()
         if newest is None:
             raise FileNotFoundError(f"no run with per-entity documents under {raw_root}")
         capture = newest.run
-    bootstrap = bootstrap.where(F.col("run") == capture)
-    summaries = summaries.where(F.col("run") == capture)
+    bootstrap = captures.read_bootstrap(spark, raw_root).where(F.col("run") == capture)
+    summaries = captures.read_summaries(spark, raw_root).where(F.col("run") == capture)
 
     about = live.context(bootstrap, summaries).first().asDict()
     if not about["completed_rows"]:

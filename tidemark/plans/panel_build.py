@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values
 from tidemark.classes import FOOTBALL, ColumnClasses
 from tidemark.operators import combine, profile
+from tidemark.session import settings
 from tidemark.sources import seasons as source
 
 PROVENANCE = "backfill"
@@ -92,15 +93,24 @@ def build(
     return Panel(aligned, profile.season_profile(aligned, expected), about)
 
 
-def write(panel: DataFrame, summary: DataFrame, dest: str, *, season: str = "season") -> str:
+# Bytes of rows, before compression, that one file is meant to hold.
+FILE_BYTES = 512 << 20
+
+
+def write(
+    panel: DataFrame, summary: DataFrame, dest: str, *, season: str = "season", file_bytes: int = FILE_BYTES
+) -> str:
     """Parquet with zstd, one folder per season, and the summary as JSON.
 
-    Rows are not moved to match the folders: a season may hold a third of the
-    table. Each task writes its rows sorted by season, so a scan of one season
-    skips all other folders.
+    Rows are brought together by season and then divided by size: small seasons are one
+    file each and a season with a third of the table many, so files follow the bytes and not
+    the number of tasks. Sizes are those that adaptive execution measures in the shuffle.
     """
     rows = f"{dest.rstrip('/')}/panel"
-    panel.write.option("compression", "zstd").partitionBy(season).mode("errorifexists").parquet(rows)
+    gathered = panel.hint("rebalance", season)
+    sized = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(file_bytes)}
+    with settings(panel.sparkSession, sized):
+        gathered.write.option("compression", "zstd").partitionBy(season).mode("errorifexists").parquet(rows)
     summary.write.mode("errorifexists").json(f"{dest.rstrip('/')}/panel_summary")
     return rows
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.functions import scalars
+from tidemark.sources import digests
 from tidemark.sources.seasons import listing
 
 EVENT = "struct<id:bigint,deadline_time:string,is_current:boolean,is_next:boolean>"
@@ -72,23 +73,26 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, path, MANIFEST, r"([^/]+)/[^/]+$")
 
 
-def payload_digests(spark: SparkSession, root: str) -> DataFrame:
+def payload_digests(spark: SparkSession, root: str, small: int = digests.SMALL) -> DataFrame:
     """run, path, bytes, sha256 of every stored payload, as it was before gzip.
 
-    Whole files are read as text because that reader unpacks by extension and
-    keeps the bytes as they are; a payload is one small document.
+    Files of up to ``small`` packed bytes are read whole, as text, because that reader
+    unpacks by extension and keeps the bytes as they are. Larger ones are read by line and
+    have ``tree:`` and a root over their lines (``digests.tree_of_lines``); bytes then leave
+    out the line ends.
     """
-    whole = spark.read.text(
-        [f"{root.rstrip('/')}/*/*.gz", f"{root.rstrip('/')}/*/*/*.gz"], wholetext=True
-    )
+    packed = {"recursiveFileLookup": "true", "pathGlobFilter": "*.gz"}
     base = re.escape(root.rstrip("/").split(":")[-1])
-    place = F.regexp_extract(F.col("_metadata.file_path"), rf"{base}/(.*)$", 1)
+    size = F.col("_metadata.file_size")
+    whole = spark.read.options(**packed).text(root, wholetext=True).where(size <= small).select(
+        F.col("_metadata.file_path").alias("file"), F.octet_length("value").cast("bigint").alias("bytes"),
+        scalars.sha256_hex(F.col("value").cast("binary")).alias("sha256"))
+    if not listing(spark, root, "*.gz").where(F.col("length") > small).isEmpty():
+        tree = digests.tree_of_lines(digests.lines_of(spark, root, size > small, **packed))
+        whole = whole.unionByName(tree.select("file", "bytes", F.concat(F.lit("tree:"), "root").alias("sha256")))
+    place = F.regexp_extract("file", rf"{base}/(.*)$", 1)
     return whole.select(
-        F.substring_index(place, "/", 1).alias("run"),
-        F.regexp_replace(place, "^[^/]+/", "").alias("path"),
-        F.octet_length("value").cast("bigint").alias("bytes"),
-        scalars.sha256_hex(F.col("value").cast("binary")).alias("sha256"),
-    )
+        F.substring_index(place, "/", 1).alias("run"), F.regexp_replace(place, "^[^/]+/", "").alias("path"), "bytes", "sha256")
 
 
 def unreadable(documents: DataFrame) -> DataFrame:
@@ -116,8 +120,19 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def summary_files(spark: SparkSession, root: str) -> DataFrame:
+    """run and path of every per-entity document, from names alone: none is opened."""
+    base = re.escape(root.rstrip("/").split(":")[-1])
+    folder, _, names = fixed_values.SUMMARY_FILES.partition("/")
+    found = listing(spark, root, names).where(F.col("path").rlike(rf"{base}/[^/]+/{folder}/[^/]+$"))
+    return found.select(F.regexp_extract("path", rf"{base}/([^/]+)/", 1).alias("run"), "path")
+
+
 def newest_full_run(summaries: DataFrame) -> DataFrame:
-    """The latest run that has per-entity documents, as a one-row table."""
+    """The latest run that has per-entity documents, as a one-row table.
+
+    Takes documents or, which opens none, ``summary_files``.
+    """
     run = F.col("run")
     order = F.struct(scalars.run_moment(run), scalars.run_attempt(run), run)
     return summaries.groupBy().agg(F.max_by("run", order).alias("run")).where("run is not null")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed_values
 from tidemark.classes import FOOTBALL, ColumnClasses
-from tidemark.sources import records
+from tidemark.sources import digests, records
 
 UTF8, LATIN1 = "utf-8", "latin-1"
 _SPARK_CHARSET = {UTF8: "UTF-8", LATIN1: "ISO-8859-1"}
@@ -44,10 +44,10 @@ def found_files(
 ) -> DataFrame:
     """season, file, parts, bytes and sha256 of what is there."""
     season, relative = _located(F.col("path"), files)
-    parts = F.sort_array(F.collect_list(F.struct("path", "sha256")))["sha256"]
+    parts = F.sort_array(F.collect_list(F.struct("path", "digest")))["digest"]
     return (
-        file_digests(spark, root, "*.csv")
-        .select(season.alias("season"), relative.alias("file"), "path", "length", "sha256")
+        digests.file_digests(spark, root, "*.csv")
+        .select(season.alias("season"), relative.alias("file"), "path", "length", "digest")
         .where(F.col("file").isNotNull())
         .groupBy("season", "file")
         .agg(F.count("*").alias("parts"), F.sum("length").alias("bytes"), parts.alias("_all"))
@@ -75,7 +75,8 @@ def source_inventory(
     """One row per expected season and file, found or missing.
 
     A missing file is a fact about its season, not an error. ``sha256`` is the digest of
-    the parts' digests in path order, or of a single file itself.
+    the parts' digests in path order, or of a single file itself; large files have a root
+    over their lines instead (``digests.file_digests``).
     """
     expected = spark.createDataFrame(
         [(s, f) for s in seasons for f in files], "season string, file string"
@@ -98,14 +99,6 @@ def inventory_counts(inventory: DataFrame) -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Path, length and SHA-256 of each stored file, for files that fit in memory."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.option("pathGlobFilter", glob).load(root).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
-
-
 def detect_formats(spark: SparkSession, root: str, seasons: Sequence[str], file: str) -> DataFrame:
     """season, encoding and multi_line, from one pass over the lines of its files.
 

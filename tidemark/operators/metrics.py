@@ -69,48 +69,46 @@ def _by_window(rows: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _ranked_pairs(pairs: DataFrame, group: list[str], group_rows: int) -> DataFrame:
-    """Rank both sides of counted (prediction, actual) pairs, then correlate."""
-    pairs = written(pairs, "ranked-pairs")
-    out = pairs
-    for side in ("prediction", "actual"):
-        shape = pairs.groupBy(*group, side).agg(
-            F.sum("_n").alias("_m"), F.count("*").alias("_rows")
-        )
-        placed = ordered.with_totals_before(
-            shape, group, [F.col(side)], {"_before": F.col("_m")}, group_rows
-        )
-        first = F.coalesce(F.col("_before"), F.lit(0))
-        ranks_of = placed.withColumn(f"_{side}", first + (F.col("_m") + 1) / F.lit(2.0))
-        out = ordered.join_per_value(out, ranks_of, group, side, "_rows", f"_{side}")
-    sizes = pairs.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    return (
-        ordered.matched(out, counted(sizes, "group-sizes"), group, "inner")
-        .groupBy(*group)
-        .agg(
-            _spearman(
-                _centred("_prediction", "_size"),
-                _centred("_actual", "_size"),
-                F.col("_n"),
-                F.lit(True),
-            ).alias("rho"),
-            F.sum("_n").alias("n"),
-        )
-    )
+def _value_ranks(pairs: DataFrame, group: list[str], group_rows: int) -> DataFrame:
+    """The average rank of each value of either side, among all and among played rows.
+
+    Both sides are values of one column and both row sets totals of one order, so one
+    exchange by group, side and value gives all four ranks.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), F.col(c).alias("_value"))
+                      for i, c in enumerate(("prediction", "actual"))])
+    each = pairs.select(*group, "_n", "_n_played", F.inline(sides))
+    keys = [*group, "_side"]
+    shape = each.groupBy(*keys, "_value").agg(
+        F.sum("_n").alias("_m"), F.sum("_n_played").alias("_m_played"), F.count("*").alias("_rows"))
+    placed = ordered.with_totals_before(
+        shape, keys, [F.col("_value")], {"_b": F.col("_m"), "_b_played": F.col("_m_played")}, group_rows)
+
+    def rank(before: str, ties: str) -> Column:
+        return F.coalesce(F.col(before), F.lit(0)) + (F.col(ties) + 1) / F.lit(2.0)
+
+    both = F.struct(rank("_b", "_m").alias("all"), rank("_b_played", "_m_played").alias("played"))
+    return written(placed.select(*keys, "_value", "_rows", both.alias("_rank")), "value-ranks")
 
 
 def _by_histogram(rows: DataFrame, group: list[str], group_rows: int) -> DataFrame:
     """Equal (prediction, actual) pairs are counted before anything is ranked."""
-    counts = rows.groupBy(*group, "_played", "prediction", "actual").agg(F.count("*").alias("_n"))
-    pairs = written(counts, "pairs")
-    every = _ranked_pairs(
-        pairs.groupBy(*group, "prediction", "actual").agg(F.sum("_n").alias("_n")),
-        group,
-        group_rows,
+    pairs = written(rows.groupBy(*group, "prediction", "actual").agg(
+        F.count("*").alias("_n"), F.count_if("_played").alias("_n_played")), "pairs")
+    ranked = _value_ranks(pairs, group, group_rows)
+    out = pairs
+    for i, side in enumerate(("prediction", "actual")):
+        of_side = ranked.where(F.col("_side") == i).select(*group, F.col("_value").alias(side), "_rows", "_rank")
+        out = ordered.join_per_value(out, of_side, group, side, "_rows", "_rank", stored=True).withColumnRenamed("_rank", f"_{side}")
+    sizes = pairs.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum("_n_played").alias("n_played"))
+    joined = ordered.matched(out, counted(sizes, "group-sizes"), group, "inner")
+    return joined.groupBy(*group).agg(
+        _spearman(_centred("_prediction.all", "n"), _centred("_actual.all", "n"), F.col("_n"), F.lit(True)).alias("rho"),
+        _spearman(_centred("_prediction.played", "n_played"), _centred("_actual.played", "n_played"),
+                  F.col("_n_played"), F.col("_n_played") > 0).alias("rho_played"),
+        F.max("n").alias("n"),
+        F.max("n_played").alias("n_played"),
     )
-    played = _ranked_pairs(pairs.where("_played").drop("_played"), group, group_rows)
-    named = played.withColumnsRenamed({"rho": "rho_played", "n": "n_played"})
-    return ordered.matched(every, named, group, "left").withColumn("n_played", F.coalesce("n_played", F.lit(0)))
 
 
 def group_correlations(

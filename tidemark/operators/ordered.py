@@ -162,22 +162,29 @@ def with_totals_before(
 
 
 def join_per_value(
-    df: DataFrame, values: DataFrame, keys: list[str], value: str, rows: str, out: str
+    df: DataFrame, values: DataFrame, keys: list[str], value: str, rows: str, out: str, *, stored: bool = False
 ) -> DataFrame:
     """Add ``out`` from a table with one row per (keys, value); ``rows`` is how often it occurs.
 
     Three parts, so that no shuffle sends a hot value to one task: values with
     many rows are few by arithmetic and go by broadcast, rows without a value need
-    no join, and what is left shuffles on (keys, value).
+    no join, and what is left shuffles on (keys, value). Without hot values, which the
+    table tells before anything is joined, there is no such part. ``stored`` says that
+    ``values`` is a written table already.
     """
     on = [*keys, value]
-    table = written(values.select(*on, rows, out), "per-value")
-    hot = counted(table.where(F.col(rows) >= HOT_VALUE_ROWS).select(*on, out), "hot-values")
-    cold = table.where(F.col(rows) < HOT_VALUE_ROWS).select(*on, out)
+    table = values if stored else written(values.select(*on, rows, out), "per-value")
+    is_hot = F.col(rows) >= HOT_VALUE_ROWS
     columns = [*df.columns, out]
     filled = df.where(F.col(value).isNotNull())
-    empty = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
-    of_hot = matched(filled, hot, on, "inner").select(*columns)
-    others = matched(filled, hot, on, "left_anti")
-    of_cold = matched(others, cold, on, "inner").select(*columns)
-    return of_hot.unionByName(of_cold).unionByName(empty.select(*columns))
+    empty = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast(table.schema[out].dataType))
+    cold = table.where(~is_hot).select(*on, out)
+    parts = [empty.select(*columns)]
+    if not table.where(is_hot).isEmpty():
+        hot = counted(table.where(is_hot).select(*on, out), "hot-values")
+        parts.append(matched(filled, hot, on, "inner").select(*columns))
+        filled = matched(filled, hot, on, "left_anti")
+    joined = matched(filled, cold, on, "inner").select(*columns)
+    for part in parts:
+        joined = joined.unionByName(part)
+    return joined

@@ -40,8 +40,11 @@ DIMENSIONS = 3
 BITS = 10
 SEED = 20
 
-# Words whose tokens a worker remembers; cleared when full, some 50 MB.
-REMEMBERED = 250_000
+# Words whose tokens a worker remembers; cleared when full, some 100 MB.
+REMEMBERED = 500_000
+
+# ASCII signs, without the apostrophe, which may open a piece together with letters.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -67,8 +70,8 @@ class WordTokens(dict):
     No token of the vocabulary spans an ASCII blank, and normalisation does not cross
     one either, so a text's ids are those of its words in a row. Letters are lowered by
     the vocabulary itself, so A-Z may be lowered before; a text with the start of a
-    special token, which counts capitals, is left as it is. A stop or comma after a
-    letter is a piece of its own, so words differing in it alone share their ids.
+    special token, which counts capitals, is left as it is. Signs after a letter or
+    digit are a piece of their own, so words differing in them alone share their ids.
     """
 
     def __init__(self, path: str):
@@ -84,8 +87,9 @@ class WordTokens(dict):
             raise ValueError(f"{path} is not a vocabulary of lower-case words")
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-            found = self[word[:-1]] + self[word[-1:]]
+        bare = word.rstrip(SIGNS)
+        if len(bare) < len(word) and bare[-1:].isalnum():
+            found = self[bare] + self[word[len(bare):]]
         else:
             text = word.decode("utf-8", "surrogatepass")
             if text.isalpha() and max(text) < "\u0180" and text.lower() == text:

@@ -88,7 +88,7 @@ class WordTokens(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         bare = word.rstrip(SIGNS)
-        if len(bare) < len(word) and bare[-1:].isalnum():
+        if len(bare) < len(word) and bare[-1:].isalnum() and b"<|" not in word:
             found = self[bare] + self[word[len(bare):]]
         else:
             text = word.decode("utf-8", "surrogatepass")

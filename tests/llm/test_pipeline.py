@@ -8,11 +8,12 @@ import duckdb
 import pytest
 from test_quality import plain_counts
 from test_secrets import plain as plain_secrets
-from test_simhash import plain_groups
+from test_near_copies import plain_groups
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from tidemark.llm import mixing, queries, secrets
+from tidemark.llm import stages as stages_module
 from tools.check_oracles import TABLES, canonical
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,8 +48,7 @@ def test_quality_drops_what_fails_and_nothing_new_appears(stages):
 
 def test_one_of_each_group(stages):
     given = [(r.doc_id, r.text) for r in stages[1].collect()]
-    expected = {component for _, _, component in plain_groups(given)}
-    assert Counter(r.doc_id for r in stages[2].collect()) == Counter(expected)
+    assert Counter(r.doc_id for r in stages[2].collect()) == plain_groups(given)
 
 
 def test_secrets_are_masked(stages):
@@ -80,15 +80,39 @@ def test_packing_covers_every_document(stages):
         assert at == total
 
 
+def packed_order(rows):
+    return [p.doc_id for p in sorted((p for p in rows if p.start == 0), key=lambda p: (p.sequence_id, p.offset))]
+
+
 def test_the_mixture_reaches_the_sequences(spark, stages):
-    """Documents of one file of the mixed table stay together in the stream."""
-    file_of = {r.doc_id: r.f for r in stages[4].selectExpr("doc_id", "input_file_name() f").collect()}
-    order = sorted((p.sequence_id, p.offset, p.doc_id) for p in stages[5].collect() if p.start == 0)
-    seen = [file_of[key] for *_, key in order]
+    """Rows of one section of the mixed table stay together in the stream, in its order."""
+    place = {r.doc_id: (r.f, r.i // stages_module.SECTION_ROWS) for r in stages[4].selectExpr(
+        "doc_id", "_metadata.file_path f", "_metadata.row_index i").collect()}
+    seen = [place[key] for key in packed_order(stages[5].collect())]
     assert seen == sorted(seen)
     assert mixing.schedule(stages[3]).count() == len(seen)
 
 
+def test_the_mixture_of_one_file_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    """Two sources take turns in one file: in the stream neither is ever a section ahead."""
+    monkeypatch.setattr(stages_module, "SECTION_ROWS", 8)
+    body = {0: "sea and sky and sea ", 1: "stone of the old hill "}
+    rows = [(i, body[i % 2] * (3 + i % 5) + str(i), "en", "ab"[i % 2], 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len(mixed.inputFiles()) == 1
+    order = packed_order(corpus_pipeline.STAGES[-1][1](spark, mixed, SMALL).collect())
+    assert sorted(order) == list(range(400)) and order != sorted(order)
+    ahead = 0
+    for key in order:
+        ahead += 1 if key % 2 else -1
+        assert abs(ahead) <= 8
+    assert [key // 8 for key in order] == sorted(key // 8 for key in order)
+    # Rows that were never in a file are written first.
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()) >= 400
+
+
 def test_run_is_the_composition(spark, stages):
     keys = lambda t: Counter((r.doc_id, r.start_0) for r in t.selectExpr("doc_id", "doc_tokens start_0").distinct().collect())
     assert keys(corpus_pipeline.run(spark, SMALL)) == keys(stages[5])
@@ -107,6 +131,6 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = contract.queries().keys()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names

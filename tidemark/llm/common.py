@@ -10,9 +10,11 @@ from tidemark.session import tune
 # Words are runs of anything but the ASCII blanks 20 and 09 to 0D.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-# Rows in one Arrow batch; with texts of tens of kilobytes a batch is some tens of
-# megabytes, which a Python worker beside a full heap can hold.
+# Rows and bytes in one Arrow batch, whichever comes first, and bytes in a row group of a
+# written table: what a Python worker or a writer beside a full heap can hold, several at once.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
+ROW_GROUP_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Session settings of this package: those of ``tune``, and small Arrow batches."""
+    """Session settings of this package: those of ``tune``, small Arrow batches and row groups."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
     return spark
 
 

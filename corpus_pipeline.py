@@ -1,72 +1,5 @@
-"""Documents to packed training sequences, one written table per stage.
+"""Documents to packed training sequences in five stages; part of ``tidemark.llm``."""
 
-Each stage reads all rows that the one before it kept. Quality rules drop documents;
-near-dedup keeps one of each group; the secret scan masks what it finds; mixing puts the
-rest in the order of its schedule, files in name order and rows in file order; packing
-keeps that order by file, so the mixture reaches the sequences, and orders documents
-along the curve inside each file.
-"""
+from tidemark.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import mixing, near_copies, packing, quality, secrets
-from tidemark.llm.common import prepared, table
-from tidemark.session import written
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    prepared(spark)
-    return quality.filter_documents(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: five-word
-    shingles with a Jaccard similarity of 0.8 or more."""
-    prepared(spark)
-    return near_copies.deduplicate(docs)
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
-    prepared(spark)
-    return secrets.redact(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the schedule."""
-    prepared(spark)
-    return mixing.interleave(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences; a file of the mixed table is a section of the stream."""
-    prepared(spark)
-    return packing.pack(docs.withColumn("_section", F.input_file_name()), section="_section")
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("near-dedup", near_dedup),
-    ("secret scan", secret_scan),
-    ("mix", mix),
-    ("pack", pack),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = written(docs, "pipeline-" + name.replace(" ", "-"))
-    return docs
-
-
-# The near-duplicate groups and the learned formats cannot be stated in SQL; the tests
-# hold every stage against a brute-force version instead.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder, written
+from tidemark.session import counted, shared_folder, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BREAK = "\r\n"
@@ -105,10 +105,15 @@ def write_pages(pages: DataFrame, folder: str, least: int = 0, key: str = "page_
         F.encode(header, "utf-8").alias("header"), F.encode(F.lit(HTTP), "utf-8").alias("http"),
         "address", F.col("response").alias("whole"),
     ).write.mode("overwrite").parquet(f"{folder}/headers")
-    # The payload of a digest's first row; others have the same bytes and stay behind.
-    kept = first.select(F.col("address").alias("a"), F.col("first_id").alias("i"))
+    # The payload of a digest's first row; others have the same bytes and stay behind. Those
+    # are named by address and id and taken out where the payloads are, so that only many
+    # of them would move payloads.
+    others = counted(
+        told.where(~F.col("id").eqNullSafe(F.col("first_id"))).select(F.col("address").alias("a"), F.col("id").alias("i")).distinct(),
+        "warc-others",
+    )
     chosen = rows.select("payload", F.sha2("payload", 256).alias("address"), "id").join(
-        kept, (F.col("address") == F.col("a")) & F.col("id").eqNullSafe(F.col("i")), "left_semi"
+        others, (F.col("address") == F.col("a")) & F.col("id").eqNullSafe(F.col("i")), "left_anti"
     )
     repeated = not facts.groupBy("address", "id").count().where("count > 1").isEmpty()
     if repeated:  # equal ids with equal payloads: one row of each
@@ -151,16 +156,22 @@ def read_pages(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFr
     sizes and digests from the stored bytes. A payload that does not have the digest its
     header states, or its address, fails the job.
     """
-    rows = records(spark, folder).withColumn("_header", F.decode("header", "utf-8"))
-    digest = base32_sha1(F.col("payload"))
+    payloads = spark.read.parquet(f"{folder}/payloads")
+    # What is asked of a payload is worked out where it is stored; only that meets the headers.
+    facts = payloads.select(
+        "address", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"),
+        (F.sha2("payload", 256) == F.col("address")).alias("_sound"),
+    )
+    rows = spark.read.parquet(f"{folder}/headers").select("address", F.decode("header", "utf-8").alias("_header"))
+    rows = rows.join(facts, "address", "left")
     rows = rows.select(
         F.expr(f"try_cast(regexp_extract(_header, '(?m)^WARC-Record-ID: <urn:record:([^>]*)>', 1) as {kind})").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"),
+        "payload_bytes", "payload_digest",
         field("WARC-Type").alias("record_type"),
         F.expr(f"try_cast(regexp_extract(_header, '(?m)^WARC-Refers-To: <urn:record:([^>]*)>', 1) as {kind})").alias("refers_to"),
         field("WARC-Payload-Digest").alias("_stated"),
-        "verified",
+        F.coalesce("_sound", F.lit(False)).alias("verified"),
     )
     sound = F.col("verified") & (F.col("_stated") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
     return rows.withColumn(

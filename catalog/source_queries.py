@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import documents
 from catalog.panel_queries import CROWD_SQL, KEYS, RULE_SQL, SPEC
-from catalog.registry import query, rounded
+from catalog.registry import ORACLES, query, rounded
 from catalog.tables import (
     FEATURE_SQL,
     MONTHS,
@@ -23,8 +23,8 @@ from tidemark.functions import scalars
 from tidemark.functions.names import fold_name
 from tidemark.operators import audit, baselines, clean, combine, live, profile
 from tidemark.plans import audit_report as audit_report_plan
-from tidemark.plans import forecast, panel_build, prediction_log
-from tidemark.session import shared_folder
+from tidemark.plans import feature_state, forecast, panel_build, prediction_log
+from tidemark.session import shared_folder, written
 from tidemark.sources import captures, seasons
 
 # --- alignment, coverage, profile -------------------------------------------
@@ -523,6 +523,19 @@ def forecast_next_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(predicted.select("baseline", "run", "code", "kickoff_time", "prediction"))
 
 
+@query(f"SELECT * FROM ({ORACLES['forecast_next_period']}) AS forecast WHERE kickoff_time IS NULL")
+def forecast_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of what is still to come from a state: folded from the periods of an earlier
+    capture, then advanced by one that repeats them and adds the rest."""
+    bootstrap = documents.bootstrap_documents(spark, sf_dir)
+    rows = forecast.live_rows(bootstrap, documents.summary_documents(spark, sf_dir))
+    history, target = forecast.split_at_deadline(rows, bootstrap)
+    how = feature_state.FeatureState(forecast.RUN_SPEC)
+    earlier = written(how.fold(history.where(F.col("round") < 6)), "state")
+    predicted = forecast.predictions_from_state(how.advance(earlier, history), target).where("kickoff_time is null")
+    return rounded(predicted.select("baseline", "run", "code", "kickoff_time", "prediction"))
+
+
 _MANIFEST_RUN = "strftime(ts, '%Y-%m-%dT%H-%M-%SZ') || '.' || event_id"
 
 

@@ -52,6 +52,34 @@ def test_limits_follow_the_group(spark):
     assert all(verdict.values())
 
 
+def test_each_measure_alone_rejects(spark):
+    """Every planted text passes the fixed rule and lies outside one limit; near ones stay."""
+    own = lambda tag, n: [f"{tag}w{j}" for j in range(n)]
+    rows = [(i, " ".join(own(f"n{i}", 40)), "en", "s") for i in range(200)]
+    sentence = own("again", 28)
+    planted = {
+        1001: " ".join("y" * 20 + w for w in own("l", 30)),
+        1002: " ".join(own("s", 30)) + " ####" * 3,
+        1003: "\n".join(f"{' '.join(own(f'd{k}', 8))}\nsee below" for k in range(6)),
+        1004: " ".join(own("a", 70) + sentence + own("b", 70) + sentence + own("c", 60)),
+    }
+    near = {
+        2001: " ".join(own("p", 40)) + "\nsee below\n" + " ".join(own("q", 40)) + "\nsee below",
+        2002: " ".join(own("a2", 20) + sentence[:8] + own("b2", 20) + sentence[:8]),
+        2003: " ".join(own("e", 30)) + " #",
+    }
+    rows += [(k, t, "en", "s") for k, t in (planted | near).items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = quality.quality(docs).where("not kept").collect()
+    assert {r.doc_id for r in found} == set(planted) and not any(r.base_failed for r in found)
+    measured = quality.written(quality.measure(docs), "t")
+    bounds = quality.limits(quality.sketches(measured)).first()["bounds"]
+    values = {r[0]: r[1:] for r in rows_of(measured.select("_row.doc_id", *[quality._value(m) for m in quality.MEASURES]))}
+    for i, key in enumerate(planted):
+        outside = [j for j, v in enumerate(values[key]) if not bounds[j].low <= v <= bounds[j].high]
+        assert outside == [i], (key, values[key], bounds)
+
+
 def test_small_groups_take_the_limits_of_the_language(spark):
     rows = [(i, " ".join(f"w{i}a{j}" for j in range(30)), "en", "big") for i in range(200)]
     rows += [(900, " ".join(f"{'y' * 20}{j}" for j in range(30)), "en", "small")]

@@ -28,6 +28,8 @@ WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+# Lines with a word: what repeated lines are held against.
+LINES = "n_lines"
 
 # Bins: values below FINE one by one, then FINE / 2 bins for each doubling.
 FINE = 64
@@ -38,7 +40,9 @@ class Measure:
     """A ratio in whole thousandths (hundredths for letters) and its least leeway.
 
     A text is outside if it lies beyond the median by more than ``spread`` times the
-    distance to the quartile on that side plus ``leeway``.
+    distance to the quartile on that side plus ``leeway``. Leeways of repeats lie well
+    below the fixed rule; a single repeat, which weighs much in a short text, counts for
+    nothing: one line, or one window of ``WINDOW`` words met twice.
     """
 
     name: str
@@ -46,13 +50,14 @@ class Measure:
     scale: int
     leeway: int
     both_sides: bool = False
+    of: str = "n_words"
 
 
 MEASURES = (
     Measure("word_length", "word_chars", 100, 300, both_sides=True),
     Measure("symbols", "n_symbols", 1000, 100),
-    Measure("dup_lines", "n_dup_lines", 1000, 100),
-    Measure("repeats", "n_repeat_words", 1000, 300),
+    Measure("dup_lines", "greatest(n_dup_lines - 1, 0)", 1000, 200, of=LINES),
+    Measure("repeats", f"greatest(n_repeat_words - {2 * WINDOW}, 0)", 1000, 150),
 )
 SPREAD = 8
 MIN_GROUP = 100
@@ -61,7 +66,7 @@ MAX_REPEAT_PERCENT = 30
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` in ``_row``, and the five counts of its text.
+    """All columns of ``docs`` in ``_row``, the five counts of its text and its lines.
 
     Each step is a projection of its own, since the later ones use it several times.
     """
@@ -79,6 +84,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_words").alias("_n"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size("_lines").cast("long").alias(LINES),
         F.transform("_words", lambda word: F.xxhash64(word)).alias("_h"),
     )
     for step in (1, 2, 4):  # hashes of 2, 4 and 8 words from their halves
@@ -92,6 +98,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols",
         "n_dup_lines",
         F.when(repeated, _covered(F.col("_h"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        LINES,
     )
     # Filters on the counts stop at a generator; pushed below they would copy the
     # expressions above once for each use.
@@ -126,7 +133,7 @@ def base_failed() -> Column:
 
 def _value(m: Measure) -> Column:
     """Whole-number ratio; floor of a quotient of longs, without doubles."""
-    return F.expr(f"({m.scale} * {m.count}) div greatest(n_words, 1)")
+    return F.expr(f"({m.scale} * {m.count}) div greatest({m.of}, 1)")
 
 
 def _bin(value: Column) -> Column:
@@ -261,7 +268,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """key, the five counts, ``base_failed`` and ``kept`` for each row; texts are read once."""
     narrow = measure(docs, text).select(
         F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in dict.fromkeys([key, lang, source])]).alias("_row"),
-        *COUNTS,
+        *COUNTS, LINES,
     )
     measured = written(narrow, "quality-measures")
     return judge(measured, limits(sketches(measured, lang, source)), lang, source).select(
@@ -278,7 +285,7 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang",
 
 def sql(documents: str = "documents") -> str:
     """DuckDB SQL for the rows of :func:`quality` on the table or view ``documents``."""
-    values = ", ".join(f"({i}, ({m.scale} * {m.count}) // n_words)" for i, m in enumerate(MEASURES))
+    values = ", ".join(f"({i}, ({m.scale} * {m.count}) // greatest({m.of}, 1))" for i, m in enumerate(MEASURES))
     leeways = " ".join(f"WHEN {i} THEN {m.leeway}" for i, m in enumerate(MEASURES))
     sided = ", ".join(str(i) for i, m in enumerate(MEASURES) if m.both_sides)
     return f"""
@@ -299,7 +306,7 @@ counts AS (
   SELECT rid, doc_id, lang, source, len(words)::BIGINT AS n_words,
          length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM base LEFT JOIN covered USING (rid)),
 vals AS (

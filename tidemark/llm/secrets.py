@@ -7,13 +7,13 @@ statistically compatible (Hoeffding bounds). Every other run of credential chara
 in every text is then scored by the likelihood of each format against that of ordinary
 runs, and becomes a span of kind ``format`` if it is far more likely as a credential and
 as likely as the labelled ones are; if the whole run is not, its parts between ``=``,
-``/`` and ``.`` are scored. What is shorter than all labelled values of a kind is not
-scored against it, and a short value needs as much evidence in all as one of
-``CERTAIN`` characters. Ordinary text is a table of character pairs, counted over every
-such run of the corpus.
+``/`` and ``.`` are scored. A short value needs as much evidence in all as one of
+``CERTAIN`` characters, and its length counts against a format whose values are longer.
+Ordinary text is a table of character pairs, counted over every such run of the corpus.
 
 The sample takes the ``SAMPLE`` distinct values of a kind with the smallest hashes, as
-large as the corpus may be; a kind with fewer than ``LEAST`` values gets no automaton.
+large as the corpus may be. A kind with few values has an automaton too: the fewer there
+are, the less can be told apart, and the more states are merged.
 
 A null text is empty: no spans, and the digest of nothing. Null and repeated keys are
 kept row by row. An empty table gives an empty result. Other columns are ignored by
@@ -52,7 +52,6 @@ RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_VALUE},}}")
 PART = re.compile(rf"[^=/.]{{{LEAST_VALUE},}}")
 
 SAMPLE = 400
-LEAST = 20
 
 # Confidence of the merge test, and how clearly a format must beat ordinary text, in
 # nats a character of a value that has CERTAIN characters or more.
@@ -60,8 +59,6 @@ ALPHA = 0.05
 MARGIN = 0.7
 CERTAIN = 16
 ALPHABET = 66
-# Verdicts a worker remembers.
-SEEN = 100_000
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -111,7 +108,6 @@ class Automaton:
     counts: list[dict[str, int]] = field(default_factory=lambda: [{}])
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     floor: float = -math.inf
-    shortest: int = 0
 
     def add(self, value: str) -> None:
         state = 0
@@ -201,7 +197,6 @@ def learned(values: list[str]) -> Automaton:
     model.merge()
     scores = sorted(model.likelihood(v) for v in values)
     model.floor = scores[len(scores) // 50] - 0.1
-    model.shortest = min(map(len, values))
     return model
 
 
@@ -212,16 +207,24 @@ class Ordinary:
     pairs: dict[str, dict[str, int]]
 
     def __post_init__(self) -> None:
-        sums = {a: sum(c.values()) + 0.5 * ALPHABET for a, c in self.pairs.items()}
-        self.logs = {a: {b: math.log((n + 0.5) / sums[a]) for b, n in c.items()} for a, c in self.pairs.items()}
-        self.unseen = {a: math.log(0.5 / m) for a, m in sums.items()}
-
-    def likelihood(self, value: str) -> float:
-        total, never, none = 0.0, -math.log(ALPHABET), {}
-        for a, b in zip("^" + value, value + "$"):
-            found = self.logs.get(a, none).get(b)
-            total += self.unseen.get(a, never) if found is None else found
-        return total / (len(value) + 1)
+        logs = np.full((128, 128), -math.log(ALPHABET))
+        for first, row in self.pairs.items():
+            total = sum(row.values()) + 0.5 * ALPHABET
+            logs[ord(first)] = math.log(0.5 / total)
+            for second, n in row.items():
+                logs[ord(first), ord(second)] = math.log((n + 0.5) / total)
+        logs[ord("$"), ord("^")] = 0.0  # between two values
+        self.logs = logs.ravel()
+
+    def likelihoods(self, values: list[str]) -> np.ndarray:
+        """Mean natural log-probability of a character of each value, the end included."""
+        if not values:
+            return np.zeros(0)
+        text = np.frombuffer(("^" + "$^".join(values) + "$").encode("ascii"), np.uint8).astype(np.int32)
+        steps = self.logs[text[:-1] * 128 + text[1:]]
+        size = np.fromiter(map(len, values), np.int64, len(values))
+        starts = np.concatenate(([0], np.cumsum(size + 2)[:-1]))
+        return np.add.reduceat(steps, starts) / (size + 1)
 
 
 def pair_counts(runs: list[str]) -> list[tuple[str, int]]:
@@ -238,36 +241,36 @@ def pair_counts(runs: list[str]) -> list[tuple[str, int]]:
 class Formats:
     automata: list[Automaton]
     ordinary: Ordinary
-    seen: dict[str, bool] = field(default_factory=dict, repr=False)
-
-    def secret(self, value: str) -> bool:
-        if value not in self.seen:
-            if len(self.seen) >= SEEN:
-                self.seen.clear()
-            self.seen[value] = self._secret(value)
-        return self.seen[value]
-
-    def _secret(self, value: str) -> bool:
-        able = [a for a in self.automata if len(value) >= a.shortest]
-        if not able:
-            return False
-        plain = self.ordinary.likelihood(value)
-        least = MARGIN * max(1, (CERTAIN + 1) / (len(value) + 1))
-        # No likelihood is above zero, so a run that is ordinary enough needs no automaton.
-        return -plain >= least and any(
-            (own := a.likelihood(value)) >= a.floor and own - plain >= least for a in able
-        )
 
-    def found(self, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Runs that are secrets, or the parts that are of those that are not."""
-        spans = []
-        for s, e in runs:
-            if self.secret(text[s:e]):
-                spans.append((s, e))
-                continue
-            parts = [(s + m.start(), s + m.end()) for m in PART.finditer(text[s:e])]
-            if parts != [(s, e)]:
-                spans += [(a, b) for a, b in parts if self.secret(text[a:b])]
+    def secrets(self, values: list[str]) -> list[bool]:
+        """Is each value far more likely as a credential than as ordinary text?"""
+        plain = self.ordinary.likelihoods(values)
+        out = [False] * len(values)
+        size = np.fromiter(map(len, values), np.int64, len(values))
+        least = MARGIN * np.maximum(1, (CERTAIN + 1) / (size + 1))
+        # No likelihood is above zero, so a run that is ordinary enough needs no automaton.
+        for i in np.flatnonzero(-plain >= least).tolist():
+            out[i] = any(
+                (own := a.likelihood(values[i])) >= a.floor and own - plain[i] >= least[i] for a in self.automata
+            )
+        return out
+
+    def found(self, texts: list[str], runs: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+        """Runs of each text that are secrets, or the parts that are of those that are not."""
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not self.automata:
+            return spans
+        whole = [(i, s, e) for i, some in enumerate(runs) for s, e in some]
+        parts = []
+        for (i, s, e), secret in zip(whole, self.secrets([texts[i][s:e] for i, s, e in whole])):
+            if secret:
+                spans[i].append((s, e))
+            else:
+                inner = [(i, s + m.start(), s + m.end()) for m in PART.finditer(texts[i][s:e])]
+                parts += inner if inner != [(i, s, e)] else []
+        for (i, s, e), secret in zip(parts, self.secrets([texts[i][s:e] for i, s, e in parts])):
+            if secret:
+                spans[i].append((s, e))
         return spans
 
 
@@ -305,7 +308,7 @@ def formats(docs: DataFrame, text: str = "text") -> Formats:
             found.where(F.col("kind") == kind)
             .orderBy(F.xxhash64("value"), "value").limit(SAMPLE).select("value").collect()
         )
-        if len(sample) >= LEAST:
+        if sample:
             automata.append(learned(sorted(r[0] for r in sample)))
     pairs: dict[str, dict[str, int]] = defaultdict(dict)
     for r in found.where("kind = 3").select("value", "n").collect():
@@ -325,9 +328,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t in ((x.as_py() or "") for x in batch.column(1)):
-                base, _, runs = base_spans(t)
-                more = [(s, 3, e) for s, e in model.found(t, runs)]
+            texts = [x.as_py() or "" for x in batch.column(1)]
+            based = [base_spans(t) for t in texts]
+            for (base, _, _), extra in zip(based, model.found(texts, [runs for _, _, runs in based])):
+                more = [(s, 3, e) for s, e in extra]
                 kinds = Counter(k for _, k, _ in base)
                 out.append((
                     kinds[0], kinds[1], kinds[2],
@@ -349,10 +353,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 MASK = "[SECRET]"
 
 
-def masked(text: str, model: Formats) -> str:
-    """The text with every span, overlapping ones as one, replaced by ``MASK``."""
-    base, _, runs = base_spans(text)
-    spans = sorted([(s, e) for s, _, e in base] + model.found(text, runs))
+def masked(texts: list[str], model: Formats) -> list[str]:
+    """Each text with every span, overlapping ones as one, replaced by ``MASK``."""
+    based = [base_spans(t) for t in texts]
+    return [
+        _masked(t, sorted([(s, e) for s, _, e in base] + extra))
+        for t, (base, _, _), extra in zip(texts, based, model.found(texts, [runs for _, _, runs in based]))
+    ]
+
+
+def _masked(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for s, e in spans:
         if s >= at:
@@ -370,7 +380,8 @@ def redact(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFr
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else masked(t, model) for t in texts], dtype=object)
+        new = masked([t or "" for t in texts], model)
+        return pd.Series([None if t is None else n for t, n in zip(texts, new)], dtype=object)
 
     rows = packed(docs).withColumn("_new", mask(F.col(f"_row.`{text}`")))
     columns = []

@@ -58,7 +58,7 @@ def kept(spark, rows, **more):
 
 def test_the_stage_finds_ordinary_near_copies(spark):
     rows = near_rows()
-    stage = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert Counter(r.doc_id for r in stage.collect()) == plain_groups(rows)
 
 

@@ -49,7 +49,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
 # Access keys and hexadecimal strings lie inside such a run, of 20 characters or more.
 RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_VALUE},}}")
-PART = re.compile(rf"[^=/.]{{{LEAST_VALUE},}}")
+SEPARATORS = "=/."
+PART = re.compile(rf"[^{SEPARATORS}]{{{LEAST_VALUE},}}")
 
 SAMPLE = 400
 
@@ -108,6 +109,7 @@ class Automaton:
     counts: list[dict[str, int]] = field(default_factory=lambda: [{}])
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     floor: float = -math.inf
+    best: np.ndarray | None = None
 
     def add(self, value: str) -> None:
         state = 0
@@ -189,6 +191,21 @@ class Automaton:
         return total / (len(value) + 1)
 
 
+    def bound(self) -> np.ndarray:
+        """The highest log-probability of each character in any state; of the end at 0."""
+        reached, stack = {0}, [0]
+        while stack:
+            for t in self.next[stack.pop()].values():
+                if t not in reached:
+                    reached.add(t)
+                    stack.append(t)
+        out = np.full(128, max(math.log(0.5 / ALPHABET / (self.total[s] + 0.5)) for s in reached))
+        for s in reached:
+            for c, n in [*self.counts[s].items(), ("\0", self.ends[s])]:
+                out[ord(c)] = max(out[ord(c)], math.log((n + 0.5 / ALPHABET) / (self.total[s] + 0.5)))
+        return out
+
+
 def learned(values: list[str]) -> Automaton:
     """An automaton of the values; ``floor`` is what one in fifty of them falls below."""
     model = Automaton()
@@ -197,6 +214,7 @@ def learned(values: list[str]) -> Automaton:
     model.merge()
     scores = sorted(model.likelihood(v) for v in values)
     model.floor = scores[len(scores) // 50] - 0.1
+    model.best = model.bound()
     return model
 
 
@@ -249,10 +267,18 @@ class Formats:
         size = np.fromiter(map(len, values), np.int64, len(values))
         least = MARGIN * np.maximum(1, (CERTAIN + 1) / (size + 1))
         # No likelihood is above zero, so a run that is ordinary enough needs no automaton.
-        for i in np.flatnonzero(-plain >= least).tolist():
-            out[i] = any(
-                (own := a.likelihood(values[i])) >= a.floor and own - plain[i] >= least[i] for a in self.automata
-            )
+        left = np.flatnonzero(-plain >= least)
+        if not len(left):
+            return out
+        text = np.frombuffer("".join([values[i] for i in left.tolist()]).encode("ascii"), np.uint8)
+        starts = np.concatenate(([0], np.cumsum(size[left])[:-1]))
+        for a in self.automata:
+            # Nor does a run need one that would fail if each character were as likely as in any state.
+            most = (np.add.reduceat(a.best[text], starts) + a.best[0]) / (size[left] + 1) + 1e-9
+            for i in left[(most >= a.floor) & (most - plain[left] >= least[left])].tolist():
+                if not out[i]:
+                    own = a.likelihood(values[i])
+                    out[i] = own >= a.floor and own - plain[i] >= least[i]
         return out
 
     def found(self, texts: list[str], runs: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
@@ -261,14 +287,23 @@ class Formats:
         if not self.automata:
             return spans
         whole = [(i, s, e) for i, some in enumerate(runs) for s, e in some]
-        parts = []
-        for (i, s, e), secret in zip(whole, self.secrets([texts[i][s:e] for i, s, e in whole])):
+        values = [texts[i][s:e] for i, s, e in whole]
+        parts, inner = [], []
+        for place, value, secret in zip(whole, values, self.secrets(values)):
+            i, s, _ = place
             if secret:
-                spans[i].append((s, e))
-            else:
-                inner = [(i, s + m.start(), s + m.end()) for m in PART.finditer(texts[i][s:e])]
-                parts += inner if inner != [(i, s, e)] else []
-        for (i, s, e), secret in zip(parts, self.secrets([texts[i][s:e] for i, s, e in parts])):
+                spans[i].append(place[1:])
+            elif "." in value or "/" in value or "=" in value:
+                bare = value.strip(SEPARATORS)
+                if "." in bare or "/" in bare or "=" in bare:
+                    for m in PART.finditer(value):
+                        parts.append((i, s + m.start(), s + m.end()))
+                        inner.append(m[0])
+                elif len(bare) >= LEAST_VALUE:
+                    at = s + value.index(bare)
+                    parts.append((i, at, at + len(bare)))
+                    inner.append(bare)
+        for (i, s, e), secret in zip(parts, self.secrets(inner)):
             if secret:
                 spans[i].append((s, e))
         return spans

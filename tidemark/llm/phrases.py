@@ -355,7 +355,7 @@ def _cut(phrase: str, start: str, length: str):
     return F.expr(f"array_join(slice(split({phrase}, ' '), {start}, {length}), ' ')")
 
 
-def scored(counted: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def scored(counted: DataFrame) -> DataFrame:
     """Candidates with a, l, r and score of their lowest-scoring cut.
 
     Both parts of a candidate are at least as frequent as it is, so every lookup succeeds.
@@ -389,7 +389,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     """The ``first`` phrases of each language: lang, rank, phrase, a, l, r, n and score."""
     counted = counts(docs, text, lang, min_count)
     inside = F.col("longest").cast("decimal(19,0)") * 100 >= F.col("a").cast("decimal(19,0)") * COVERED_PERCENT
-    alone = scored(counted, min_count).join(covered(counted), ["lang", "phrase"], "left").where(~F.coalesce(inside, F.lit(False)))
+    alone = scored(counted).join(covered(counted), ["lang", "phrase"], "left").where(~F.coalesce(inside, F.lit(False)))
     # The first of each share of a language, then the first of those: no task meets more of a
     # language than ``SHARES`` times as many candidates as are asked for, or one share of all.
     alone = alone.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))

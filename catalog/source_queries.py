@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import documents
-from catalog.panel_queries import CROWD_SQL, KEYS, RULE_SQL, SPEC
+from catalog.panel_queries import CROWD_SQL, RULE_SQL
 from catalog.registry import ORACLES, query, rounded
 from catalog.tables import (
     FEATURE_SQL,
-    MONTHS,
     PANEL_SQL,
     feature_table,
     labelled_suppliers,

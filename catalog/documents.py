@@ -4,6 +4,9 @@ Each customer is one capture run whose bootstrap document lists the customer and
 second entity with gaps; each order is one per-entity document; each event is one
 run manifest. All documents are built from single rows, turned to JSON text and
 parsed again with the library's own schemas, so nothing is gathered to build them.
+
+A narrow row becomes some kilobytes of text, so the size of a table's files says little
+about the work in it: rows are dealt out by their number before documents are built.
 """
 
 from __future__ import annotations
@@ -15,6 +18,11 @@ from catalog.tables import table
 from tidemark.functions import scalars
 from tidemark.sources import captures
 
+# Documents that one task builds and parses: about half a second of bootstraps, which are
+# the largest, and as much of the others.
+BOOTSTRAPS_PER_TASK = 5_000
+DOCUMENTS_PER_TASK = 40_000
+
 BOOTSTRAP_URL = "https://example.com/bootstrap"
 FIXTURES_URL = "https://example.com/fixtures"
 
@@ -49,6 +57,11 @@ _LABELS = """array(named_struct('id', cast(1 as bigint), 'singular_name_short',
   named_struct('id', cast(4 as bigint), 'singular_name_short', 'FWD'))"""
 
 
+def _dealt(rows: DataFrame, key: str, per_task: int) -> DataFrame:
+    """Rows of a table by their key, ``per_task`` to a task; file footers tell how many there are."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)), key)
+
+
 def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
     """JSON text to columns. The generator makes Spark parse each text once, however
     many of its fields are used further on."""
@@ -57,7 +70,7 @@ def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
 
 
 def bootstrap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
+    customer = _dealt(table(spark, sf_dir, "customer"), "c_custkey", BOOTSTRAPS_PER_TASK)
     nation = table(spark, sf_dir, "nation")
     named = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
     body = named.selectExpr(
@@ -72,7 +85,8 @@ def bootstrap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order, with one completed period and one past season."""
-    body = table(spark, sf_dir, "orders").selectExpr(
+    orders = _dealt(table(spark, sf_dir, "orders"), "o_orderkey", DOCUMENTS_PER_TASK)
+    body = orders.selectExpr(
         "concat('c', o_custkey) as run",
         "o_custkey as element",
         """to_json(named_struct(
@@ -109,7 +123,7 @@ def yearly_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest per event; an error event lost its bootstrap, a click is unreadable."""
-    events = table(spark, sf_dir, "events")
+    events = _dealt(table(spark, sf_dir, "events"), "event_id", DOCUMENTS_PER_TASK)
     entries = f"""array(
       named_struct('url', '{BOOTSTRAP_URL}', 'status', if(event_type = 'error', 503, 200),
         'path', if(event_type = 'error', cast(null as string), 'bootstrap-static.json.gz'),

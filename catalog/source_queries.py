@@ -526,7 +526,7 @@ def forecast_next_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_from_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of what is still to come from a state: folded from the periods of an earlier
     capture, then advanced by one that repeats them and adds the rest."""
-    bootstrap = documents.bootstrap_documents(spark, sf_dir)
+    bootstrap = forecast.parsed(documents.bootstrap_documents(spark, sf_dir))
     rows = forecast.live_rows(bootstrap, documents.summary_documents(spark, sf_dir))
     history, target = forecast.split_at_deadline(rows, bootstrap)
     how = feature_state.FeatureState(forecast.RUN_SPEC)

@@ -23,6 +23,11 @@ def _largest(rows: DataFrame, *keys: str) -> int:
     return int(rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
 
 
+def parsed(bootstrap: DataFrame) -> DataFrame:
+    """The documents as a written table: entities, stubs and periods read their columns of it."""
+    return written(bootstrap, "bootstraps")
+
+
 def live_rows(bootstrap: DataFrame, summaries: DataFrame) -> DataFrame:
     """Completed rows and stubs of every run as a written table: documents are parsed once,
     and bounds, features and targets read their columns of it."""
@@ -120,7 +125,7 @@ def forecast(
         predictions = next_period_predictions(bootstrap, summaries, period_rows=period_rows)
     else:
         # One run's rows, so its seasons need no run in their key.
-        spec = PanelSpec()
+        spec, bootstrap = PanelSpec(), parsed(bootstrap)
         history, target = split_at_deadline(live_rows(bootstrap, summaries), bootstrap, spec)
         state = carried_state(spark, state_root, capture, history, spec)
         predictions = predictions_from_state(state, target, spec=spec, period_rows=period_rows)

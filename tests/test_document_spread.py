@@ -41,7 +41,7 @@ def test_documents_are_built_in_many_tasks(spark, monkeypatch, name):
 
 
 # Queries that read entities, stubs and periods of the same documents.
-PARSED_ONCE = ["forecast_from_state"]
+PARSED_ONCE = ["forecast_next_period", "forecast_from_state"]
 
 
 @pytest.mark.parametrize("name", PARSED_ONCE)

@@ -44,6 +44,7 @@ def next_period_predictions(
     end at the deadline with no special case. Features run in one entity's season,
     ranks in one period, each with a bound counted on the rows.
     """
+    bootstrap = parsed(bootstrap)
     rows = live_rows(bootstrap, summaries)
     featured = features.build(rows, RUN_SPEC, group_rows=_largest(rows, "run_season", "code"))
     target = live.next_period_rows(featured, captures.period_context(bootstrap))

@@ -7,7 +7,7 @@ import numpy as np
 
 from edge_data import edge_rows, rows_of
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import near_copies, simhash
 
 
 def plain_set(text):
@@ -94,3 +94,35 @@ def test_joins_equal_brute_force():
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
             if len(a & b) >= 0.8 * len(a | b):
                 assert label[i] == label[j]
+
+
+def test_pairs_come_through_the_bit_planes(spark, monkeypatch):
+    """The planes compare the fingerprints, and what they find joins most copies by itself."""
+    rows = near_rows(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = docs.select(near_copies._sketch(5, docs.text).alias("s")).select("s.*").dropDuplicates(["fp"])
+    wide = prints.selectExpr("0L as bucket", "fp", "print", "2L as n")
+    found = near_copies.close(prints, wide, 256).collect()
+    sets = {near_copies._digest(near_copies.shingles(t)): set(near_copies.shingles(t).tolist()) for _, t in rows}
+    assert all(r.a != r.b for r in found)
+    near = [(r.a, r.b) for r in found if len(sets[r.a] & sets[r.b]) >= 0.8 * len(sets[r.a] | sets[r.b])]
+    label = {s: s for s in sets}
+    for a, b in near:
+        label = {s: label[a] if v == label[b] else v for s, v in label.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 100
+    assert sum(label[a] == label[b] for a, b in pairs) >= 0.9 * len(pairs)
+    # And the stage asks them.
+    asked, plain = [], near_copies.close
+    monkeypatch.setattr(near_copies, "close", lambda *given: asked.append(given) or plain(*given))
+    assert kept(spark, rows) == plain_groups(rows) and asked
+
+
+def test_planes_count_up_to_any_radius():
+    rng = np.random.default_rng(3)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 12)).astype(np.uint64), axis=1)
+    prints = (rng.integers(0, 2**63, 1, np.uint64) ^ flips).view(np.int64)
+    for radius in (0, 1, 2, 3, 6, 9, 12, 15):
+        a, b = simhash.close_pairs(prints, np.zeros(300, np.int64), radius)
+        plain = {(i, j) for i in range(300) for j in range(i + 1, 300) if ((int(prints[i]) ^ int(prints[j])) & (2**64 - 1)).bit_count() <= radius}
+        assert set(zip(a.tolist(), b.tolist())) == plain

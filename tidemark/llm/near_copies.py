@@ -1,15 +1,20 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity
-of 0.8 or more; a group is what such pairs reach. Similar texts do not have similar
-fingerprints of 64 bits (at 0.8 about eight bits differ), so candidates come from
-MinHash instead: 32 bands of five minima each. A pair at exactly 0.8 shares no band with
-a probability of 0.000003, and a closer pair with less. Every candidate pair is decided
-on its whole sets.
-
-Equal sets are one class first. No pairs of a bucket are made: each class is compared
-with the least of its bucket, which is one row a class. Buckets whose other classes are
-then in one group are done. The rest are dealt into blocks of ``BLOCK`` classes, each
+of 0.8 or more; a group is what such pairs reach. Equal sets are one class first.
+
+Candidates are compared as in ``simhash``: a set has a fingerprint of 64 bits, and the
+fingerprints of a bucket are compared as bit planes with carry-save counters, a run of 64
+given up once all of it is beyond the radius. At 0.8 about ten bits differ, so the radius
+is ``RADIUS``; no choice of bits of a fingerprint holds so wide a ball in few buckets, so
+beside the ten choices of three of five bands there are 32 bands of five minima each
+(MinHash). Large buckets are cut into blocks, and each class leaves a block with its
+``NEAREST`` nearest in it. Every candidate pair is decided on its whole sets.
+
+Fingerprints decide nothing alone. A pair at exactly 0.8 shares no band of minima with a
+probability of 0.000003, a closer pair with less, and in those buckets an exact way takes
+what those leave: each class is compared with the least of its bucket, which is one
+row a class. Buckets whose other classes are then in one group are done. The rest are dealt into blocks of ``BLOCK`` classes, each
 pair of blocks a task of its own; in a block only classes of different groups are
 compared, and what leaves it are links that join groups, never all pairs.
 
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_words
 from tidemark.llm.components import components
+from tidemark.llm import simhash
 from tidemark.llm.simhash import keep_one, named_classes
 from tidemark.session import counted, written
 
@@ -41,6 +47,10 @@ _RNG = np.random.default_rng(SEED)
 _FLIPS = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 _FACTORS = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
+# Bits in which fingerprints of sets at the similarity hardly ever differ more.
+RADIUS = 15
+NEAREST = 3
+
 # Classes in one block, and shingles that meet the minima in one numpy step.
 BLOCK = 256
 STEP = 1 << 11
@@ -75,6 +85,12 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of a set's hashes have."""
+    step = simhash.STEP
+    return simhash.majority(len(hashes), (hashes[at : at + step] for at in range(0, len(hashes), step)))
+
+
 def _digest(hashes: np.ndarray) -> str:
     from xxhash import xxh3_128_hexdigest
 
@@ -82,10 +98,10 @@ def _digest(hashes: np.ndarray) -> str:
 
 
 def _sketch(width: int, text: Column) -> Column:
-    @F.pandas_udf("fp string, bands array<long>")
+    @F.pandas_udf("fp string, print long, bands array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, width) for t in texts]
-        return pd.DataFrame({"fp": [_digest(s) for s in sets], "bands": [bands(s) for s in sets]})
+        return pd.DataFrame({"fp": [_digest(s) for s in sets], "print": [fingerprint(s) for s in sets], "bands": [bands(s) for s in sets]})
 
     return sketch(text)
 
@@ -106,6 +122,54 @@ def _set(width: int, text: Column) -> Column:
     return set_(text)
 
 
+# --- comparison of fingerprints -------------------------------------------------------
+
+
+def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, fp, print) sorted by bucket: each with the nearest within the radius."""
+    kinds = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        keys, prints = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+        i, j = simhash.close_pairs(prints, keys, RADIUS)
+        i, j = np.r_[i, j], np.r_[j, i]
+        order = np.lexsort((np.bitwise_count(prints[i].view(np.uint64) ^ prints[j].view(np.uint64)), i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        names = rows.column(1).combine_chunks()
+        near = place < NEAREST
+        return pa.RecordBatch.from_arrays([names.take(pa.array(i[near])), names.take(pa.array(j[near]))], schema=kinds)
+
+    held = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        if held.num_rows < simhash.STEP // 4:
+            continue
+        keys = held.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+        if cut:
+            yield solve(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield solve(held)
+
+
+def close(classes: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """a and b: classes whose fingerprints are close, each with its nearest in every block.
+
+    Blocks of a large bucket do not meet here, so the work is in proportion to the rows.
+    """
+    banded = classes.where(F.size("bands") > 0).select(
+        "fp", "print", F.explode(simhash.band_choices(F.col("print"))).alias("bucket"))
+    sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "copies-choices")
+    rows = banded.join(sizes, "bucket").select("bucket", "fp", "print", "n").unionByName(
+        shared.select("bucket", "fp", "print", "n"))
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(F.col("n") / block).cast("int"))
+    dealt = rows.select(F.xxhash64("bucket", own).alias("bucket"), "fp", "print")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_planes, "a string, b string")
+
+
 # --- comparison of whole sets ---------------------------------------------------------
 
 
@@ -189,14 +253,18 @@ def _blocks(similarity: float):
 def links(classes: DataFrame, sets_of, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """a and b: pairs of similar classes that connect all similar classes in a bucket.
 
-    ``classes`` has fp and bands; ``sets_of`` gives fp and members for a table of fp.
+    ``classes`` has fp, print and bands; ``sets_of`` gives fp and members for a table of fp.
     """
-    banded = classes.select("fp", F.explode("bands").alias("bucket"))
+    banded = classes.select("fp", "print", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     shared = written(banded.join(written(sizes, "copies-buckets"), "bucket"), "copies-shared")
-    sets = written(sets_of(shared.select("fp").distinct()), "copies-sets")
+    least = shared.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    pairs = written(
+        close(classes, shared, block).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        .union(least).distinct(), "copies-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(shared.select("fp"))
+    sets = written(sets_of(met.distinct()), "copies-sets")
     members = lambda name: sets.select(F.col("fp").alias(name), F.col("members").alias(f"{name}_members"))
-    pairs = shared.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
     near = written(
         pairs.join(members("a"), "a").join(members("b"), "b")
         .where(_alike(similarity, F.col("a_members"), F.col("b_members"))).select("a", "b"),
@@ -238,7 +306,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         "copies-prints",
     )
     own = written(
-        prints.groupBy("fp").agg(F.min(f"`{key}`").alias("least"), F.first("bands").alias("bands")),
+        prints.groupBy("fp").agg(F.min(f"`{key}`").alias("least"), F.first("print").alias("print"), F.first("bands").alias("bands")),
         "copies-classes",
     )
 
@@ -248,6 +316,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         found = found.join(counted(wanted, "copies-wanted"), "fp").groupBy("fp").agg(F.first("body").alias("body"))
         return found.select("fp", _set(shingle, F.col("body")).alias("members"))
 
-    labels = components(links(own.select("fp", "bands"), sets_of, similarity))
+    labels = components(links(own.select("fp", "print", "bands"), sets_of, similarity))
     return keep_one(docs, prints.select(F.col(f"`{key}`"), "fp"), named_classes(own, labels),
                     lambda column: _print(shingle, column), key, text)

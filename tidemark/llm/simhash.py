@@ -22,13 +22,13 @@ results. Other columns are ignored by ``groups`` and kept by ``deduplicate``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -61,15 +61,21 @@ def fingerprint(text: str | None) -> int:
     width = min(SHINGLE, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), STEP):
-        hashes = np.fromiter(
+    return majority(len(starts), (
+        np.fromiter(
             (xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[at : at + STEP], ends[at : at + STEP])),
             np.uint64,
         )
+        for at in range(0, len(starts), STEP)))
+
+
+def majority(number: int, pieces: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of ``number`` hashes have, given in pieces, as a signed long."""
+    total = np.zeros(64, np.int64)
+    for hashes in pieces:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    set_ = np.packbits(2 * total > len(starts), bitorder="little")
+    set_ = np.packbits(2 * total > number, bitorder="little")
     return int(set_.view(np.int64)[0])
 
 
@@ -130,31 +136,35 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
 def _compare(query, planes, run, used, radius) -> tuple[np.ndarray, np.ndarray]:
     """Tasks with a lane within the radius, and those lanes as bits of a word."""
     alive = np.arange(len(query))
-    ones = np.zeros(len(query), np.uint64)
-    twos = ones.copy()
+    counters = [np.zeros(len(query), np.uint64) for _ in range(radius.bit_length())]
     over = ~used[run]
     for bit in range(64):
         own = ((query >> np.uint64(bit)) & np.uint64(1)) * np.uint64(0xFFFFFFFFFFFFFFFF)
-        differ = planes[bit][run] ^ own
-        carry = ones & differ
-        ones = ones ^ differ
-        over |= twos & carry
-        twos = twos ^ carry
-        if radius == 0:
-            over |= ones | twos
-        elif radius == 1:
-            over |= twos
-        elif radius == 2:
-            over |= twos & ones
+        carry = planes[bit][run] ^ own
+        for i, c in enumerate(counters):
+            counters[i], carry = c ^ carry, c & carry
+        over |= carry | _above(counters, radius)
         if bit % 4 == 3:
             go = over != np.uint64(0xFFFFFFFFFFFFFFFF)
             if not go.all():
-                alive, query, run, ones, twos, over = (x[go] for x in (alive, query, run, ones, twos, over))
+                alive, query, run, over, *counters = (x[go] for x in (alive, query, run, over, *counters))
                 if not len(alive):
                     break
     return alive, ~over
 
 
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray | np.uint64:
+    """Lanes whose count, low bit first, is above the radius; nothing where all bits of that are 1."""
+    above, equal = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
+    if radius & (radius + 1):
+        for i in reversed(range(len(counters))):
+            if not radius >> i & 1:
+                above, equal = above | (equal & counters[i]), equal & ~counters[i]
+            else:
+                equal = equal & counters[i]
+    return above
+
+
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest place reachable from each of n places over the pairs."""
     label = np.arange(n)
@@ -195,8 +205,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(keys, prints)
 
 
-def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a and b: stars over distinct fingerprints ``fp`` that connect all close pairs."""
+def band_choices(fp: Column) -> Column:
+    """A hash for each choice of three bands: fingerprints within the radius share one."""
     offsets = np.cumsum((0,) + BANDS[:-1]).tolist()
     masks = [((1 << width) - 1) << at for at, width in zip(offsets, BANDS)]
     keep = len(BANDS) - RADIUS
@@ -204,8 +214,13 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     for i, chosen in enumerate(combinations(masks, keep)):
         mask = sum(chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        choices.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed))))
-    banded = classes.select("fp", F.explode(F.array(*choices)).alias("bucket"))
+        choices.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed))))
+    return F.array(*choices)
+
+
+def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a and b: stars over distinct fingerprints ``fp`` that connect all close pairs."""
+    banded = classes.select("fp", F.explode(band_choices(F.col("fp"))).alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     sizes = written(sizes, "simhash-buckets")
     shared = banded.join(sizes, "bucket")

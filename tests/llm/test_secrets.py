@@ -161,3 +161,14 @@ def test_one_labelled_value_is_enough_for_an_automaton(spark):
     rows = [(1, "password=3f9a8c7e6b5d4a3f2e1d"), (2, "ordinary words of an ordinary text here")]
     model = secrets.formats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(model.automata) == 1
+
+
+def test_runs_are_held_a_piece_at_a_time(monkeypatch):
+    """Pieces bound what a worker holds and change neither order nor masks."""
+    monkeypatch.setattr(secrets, "PIECE", 50)
+    texts = ["token = abcdef123456", "", "plain words " * 9, "AKIA" + "Q7" * 9, "x"] * 7
+    parts = list(secrets.pieces(texts))
+    assert [t for p in parts for t in p] == texts
+    assert all(sum(map(len, p[:-1])) < 50 for p in parts) and len(parts) > 7
+    model = secrets.Formats([], secrets.Ordinary({}))
+    assert secrets.masked(texts, model) == [m for t in texts for m in secrets.masked([t], model)]

@@ -26,7 +26,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,6 +54,9 @@ PART = re.compile(rf"[^{SEPARATORS}]{{{LEAST_VALUE},}}")
 
 SAMPLE = 400
 
+# Characters of text whose runs a worker holds at once; a longer text is held alone.
+PIECE = 1 << 18
+
 # Confidence of the merge test, and how clearly a format must beat ordinary text, in
 # nats a character of a value that has CERTAIN characters or more.
 ALPHA = 0.05
@@ -93,6 +96,19 @@ def base_spans(text: str) -> tuple[list[Span], list[str], list[tuple[int, int]]]
     return [spans[i] for i in order], [values[i] for i in order], others
 
 
+def pieces(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in their order, about ``PIECE`` characters at a time."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= PIECE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -317,12 +333,15 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labelled, runs = Counter(), []
-            for t in ((x.as_py() or "") for x in batch.column(0)):
-                spans, values, others = base_spans(t)
-                labelled.update((k, v) for (_, k, _), v in zip(spans, values))
-                runs += [t[s:e] for s, e in others]
-            rows = [(k, v, n) for (k, v), n in labelled.items()] + [(3, p, n) for p, n in pair_counts(runs)]
+            found = Counter()
+            for part in pieces(x.as_py() or "" for x in batch.column(0)):
+                runs = []
+                for t in part:
+                    spans, values, others = base_spans(t)
+                    found.update((k, v) for (_, k, _), v in zip(spans, values))
+                    runs += [t[s:e] for s, e in others]
+                found.update({(3, p): n for p, n in pair_counts(runs)})
+            rows = [(k, v, n) for (k, v), n in found.items()]
             kinds, values, numbers = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), pa.array(values, pa.string()), pa.array(numbers, pa.int64())],
@@ -363,15 +382,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            texts = [x.as_py() or "" for x in batch.column(1)]
-            based = [base_spans(t) for t in texts]
-            for (base, _, _), extra in zip(based, model.found(texts, [runs for _, _, runs in based])):
-                more = [(s, 3, e) for s, e in extra]
-                kinds = Counter(k for _, k, _ in base)
-                out.append((
-                    kinds[0], kinds[1], kinds[2],
-                    hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more),
-                ))
+            for texts in pieces(x.as_py() or "" for x in batch.column(1)):
+                based = [base_spans(t) for t in texts]
+                for (base, _, _), extra in zip(based, model.found(texts, [runs for _, _, runs in based])):
+                    more = [(s, 3, e) for s, e in extra]
+                    kinds = Counter(k for _, k, _ in base)
+                    out.append((
+                        kinds[0], kinds[1], kinds[2],
+                        hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more),
+                    ))
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]],
@@ -390,11 +409,14 @@ MASK = "[SECRET]"
 
 def masked(texts: list[str], model: Formats) -> list[str]:
     """Each text with every span, overlapping ones as one, replaced by ``MASK``."""
-    based = [base_spans(t) for t in texts]
-    return [
-        _masked(t, sorted([(s, e) for s, _, e in base] + extra))
-        for t, (base, _, _), extra in zip(texts, based, model.found(texts, [runs for _, _, runs in based]))
-    ]
+    out = []
+    for part in pieces(texts):
+        based = [base_spans(t) for t in part]
+        out += [
+            _masked(t, sorted([(s, e) for s, _, e in base] + extra))
+            for t, (base, _, _), extra in zip(part, based, model.found(part, [runs for _, _, runs in based]))
+        ]
+    return out
 
 
 def _masked(text: str, spans: list[tuple[int, int]]) -> str:

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from edge_data import edge_rows, rows_of
 import corpus_pipeline
@@ -126,3 +128,20 @@ def test_planes_count_up_to_any_radius():
         a, b = simhash.close_pairs(prints, np.zeros(300, np.int64), radius)
         plain = {(i, j) for i in range(300) for j in range(i + 1, 300) if ((int(prints[i]) ^ int(prints[j])) & (2**64 - 1)).bit_count() <= radius}
         assert set(zip(a.tolist(), b.tolist())) == plain
+
+
+def test_each_text_is_printed_once_for_its_set_and_once_for_the_verdict(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+
+    def counting(width, text):
+        @F.pandas_udf("string")
+        def print_(texts: pd.Series) -> pd.Series:
+            met.add(len(texts))
+            return pd.Series([near_copies._digest(near_copies.shingles(t, width)) for t in texts], dtype=object)
+
+        return print_(text)
+
+    rows = near_rows()
+    monkeypatch.setattr(near_copies, "_print", counting)
+    assert kept(spark, rows) == plain_groups(rows)
+    assert met.value == 2 * len(rows)

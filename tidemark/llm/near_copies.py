@@ -312,7 +312,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Only texts that share a bucket are read again for their sets."""
-        found = docs.select(body.alias("body"), _print(shingle, body).alias("fp"))
+        # Behind a generator, as in ``keep_one``: the join's null test would take each print again.
+        found = docs.select(body.alias("body"), F.explode(F.array(_print(shingle, body))).alias("fp"))
         found = found.join(counted(wanted, "copies-wanted"), "fp").groupBy("fp").agg(F.first("body").alias("body"))
         return found.select("fp", _set(shingle, F.col("body")).alias("members"))
 

@@ -296,7 +296,9 @@ def keep_one(docs: DataFrame, prints: DataFrame, classes: DataFrame, fingerprint
         ),
         "simhash-keepers",
     )
-    rows = packed(docs).withColumn("_fp", fingerprint_of(F.col(f"_row.`{text}`")))
+    # The join's null test stops at a generator; pushed below it would fingerprint each text
+    # a second time, in Python workers of its own.
+    rows = packed(docs).select("_row", F.explode(F.array(fingerprint_of(F.col(f"_row.`{text}`")))).alias("_fp"))
     kept = rows.join(keeper, "_fp").where(F.col(f"_row.`{key}`").eqNullSafe(F.col("_component")))
     single = kept.where("_rows = 1").select("_row")
     if keeper.where("_rows > 1").isEmpty():

@@ -57,9 +57,11 @@ _LABELS = """array(named_struct('id', cast(1 as bigint), 'singular_name_short',
   named_struct('id', cast(4 as bigint), 'singular_name_short', 'FWD'))"""
 
 
-def _dealt(rows: DataFrame, key: str, per_task: int) -> DataFrame:
-    """Rows of a table by their key, ``per_task`` to a task; file footers tell how many there are."""
-    return rows.repartition(max(1, -(-rows.count() // per_task)), key)
+def _dealt(rows: DataFrame, key: str, per_task: int, at_most: int | None = None) -> DataFrame:
+    """Rows of a table by their key, ``per_task`` to a task; file footers tell how many there are.
+    Derived rows, which would have to be made to be counted, are dealt by a bound on their number."""
+    number = rows.count() if at_most is None else at_most
+    return rows.repartition(max(1, -(-number // per_task)), key)
 
 
 def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
@@ -106,13 +108,17 @@ def summary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yearly_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per customer and year, holding that year's official total."""
-    totals = (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_custkey", F.year("o_orderdate").alias("y"))
-        .agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("points"))
+    """One document per customer and year, holding that year's official total.
+
+    There are no more of them than orders. A customer's orders are summed before they
+    are dealt out, so that one with very many makes no large task.
+    """
+    orders = table(spark, sf_dir, "orders")
+    totals = orders.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(
+        F.sum(F.floor("o_totalprice").cast("bigint")).alias("points")
     )
-    body = totals.selectExpr(
+    dealt = _dealt(totals, "o_custkey", DOCUMENTS_PER_TASK, at_most=orders.count())
+    body = dealt.selectExpr(
         "concat('c', o_custkey) as run",
         "o_custkey as element",
         """to_json(named_struct('history_past', array(named_struct(

@@ -40,6 +40,27 @@ def test_documents_are_built_in_many_tasks(spark, monkeypatch, name):
     assert canonical(ours) == canonical(theirs)
 
 
+def test_yearly_records_are_built_in_many_tasks(spark, monkeypatch):
+    """They took the session's partitions, merged to one for each core, however many they were."""
+    seen, plain = [], documents._parsed
+
+    def watched(bodies, schema):
+        if schema == documents.captures.SUMMARY:
+            seen.append(bodies.rdd.getNumPartitions())
+        return plain(bodies, schema)
+
+    monkeypatch.setattr(documents, "_parsed", watched)
+    monkeypatch.setattr(documents, "DOCUMENTS_PER_TASK", 50)
+    ours = catalog.QUERIES["official_totals"](spark, SMALL).toPandas()
+    orders = table(spark, SMALL, "orders").count()
+    assert seen == [-(-orders // 50)] and seen[0] > 16
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    theirs = db.execute(catalog.ORACLES["official_totals"]).df()
+    assert canonical(ours) == canonical(theirs)
+
+
 # Queries that read entities, stubs and periods of the same documents.
 PARSED_ONCE = ["forecast_next_period", "forecast_from_state"]
 

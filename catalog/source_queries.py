@@ -467,9 +467,8 @@ def live_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer"""
 )
 def live_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.context(
-        documents.bootstrap_documents(spark, sf_dir), documents.summary_documents(spark, sf_dir)
-    )
+    bootstrap = forecast.parsed(documents.bootstrap_documents(spark, sf_dir))
+    return live.context(bootstrap, documents.summary_documents(spark, sf_dir))
 
 
 @query(

@@ -79,3 +79,20 @@ def test_documents_are_parsed_once(spark, monkeypatch, name):
         lambda *given: plain(*given).withColumn("run", counting.asNondeterministic()("run")))
     assert catalog.QUERIES[name](spark, SMALL).count()
     assert met.value == table(spark, SMALL, "customer").count()
+
+
+@pytest.mark.parametrize("name", ["live_panel", "live_context"])
+def test_documents_are_parsed_once_for_all_columns(spark, monkeypatch, name):
+    """Collected, as a count leaves out the columns that one of the readers needs."""
+    met, plain = spark.sparkContext.accumulator(0), documents.bootstrap_documents
+
+    @F.udf("string")
+    def counting(run):
+        met.add(1)
+        return run
+
+    monkeypatch.setattr(
+        documents, "bootstrap_documents",
+        lambda *given: plain(*given).withColumn("run", counting.asNondeterministic()("run")))
+    assert catalog.QUERIES[name](spark, SMALL).collect()
+    assert met.value == table(spark, SMALL, "customer").count()

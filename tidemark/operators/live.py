@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values
 from tidemark.functions import scalars
 from tidemark.operators import combine
+from tidemark.session import written
 from tidemark.sources import captures
 
 PROVENANCE = "capture"
@@ -21,7 +22,10 @@ def completed_history(
     Entities without a readable document have no rows. The explode comes after
     the join, so documents are joined once each, not once per entry.
     """
-    entities = captures.entity_dimension(bootstrap)
+    return _history(captures.entity_dimension(bootstrap), summaries, fields)
+
+
+def _history(entities: DataFrame, summaries: DataFrame, fields: list[str]) -> DataFrame:
     held = summaries.select("run", F.col("element").cast("string").alias("element"), "history")
     rows = entities.join(held, ["run", "element"]).withColumn("_h", F.explode("history"))
     found = rows.select(
@@ -37,14 +41,24 @@ def upcoming_stubs(bootstrap: DataFrame) -> DataFrame:
     Runs without a next period give no rows. Outcomes are absent, so they become
     null beside completed rows and no feature can read them.
     """
+    return _stubs(_listed(bootstrap))
+
+
+def _stubs(listed: DataFrame) -> DataFrame:
+    return combine.tag(listed.where("_ahead").drop("_ahead"), PROVENANCE)
+
+
+def _listed(bootstrap: DataFrame) -> DataFrame:
+    """One row per entity: its dimension, and its stub's columns where a period is still
+    to come (``_ahead``); elsewhere they are null and not computed."""
     event = scalars.first_where(F.col("events"), lambda e: e["is_next"])
     listed = bootstrap.select(
         "run", "element_types", "teams", "total_players",
         captures.season_column().alias("season"),
         event.alias("_event"),
         F.explode("elements").alias("_e"),
-    ).where(F.col("_event").isNotNull())
-    e = F.col("_e")
+    )
+    e, ahead = F.col("_e"), F.col("_event").isNotNull()
     text = {
         "round": F.col("_event.id"),
         "value": e["now_cost"],
@@ -60,17 +74,21 @@ def upcoming_stubs(bootstrap: DataFrame) -> DataFrame:
         "chance_of_playing": e["chance_of_playing_next_round"],
         "news": scalars.blank_to_null(e["news"]),
     }
-    stubs = listed.select(
-        "run", "season", *captures.entity_columns(e),
-        *[value.cast("string").alias(name) for name, value in text.items()],
+    return listed.select(
+        "run", "season", *captures.entity_columns(e), ahead.alias("_ahead"),
+        *[F.when(ahead, value.cast("string")).alias(name) for name, value in text.items()],
     )
-    return combine.tag(stubs, PROVENANCE)
 
 
 def build(bootstrap: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Completed rows and upcoming stubs of every run, aligned by name."""
+    """Completed rows and upcoming stubs of every run, aligned by name.
+
+    Listed entities are written, as both read them: the documents are parsed once.
+    """
+    listed = written(_listed(bootstrap), "listed-entities")
+    dimension = listed.select("run", "season", "code", "name", "position", "team", "element")
     return combine.align(
-        [completed_history(bootstrap, summaries), upcoming_stubs(bootstrap)]
+        [_history(dimension, summaries, fixed_values.HISTORY_FIELDS), _stubs(listed)]
     )
 
 
